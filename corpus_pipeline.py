@@ -3,8 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from xylem.llm import contamination, language, minhash, mixing, tokens
+from xylem.llm.common import save
+
+#: A text whose likeliest language has a smaller share than this is rejected, as is one without letters.
+LEAST_SHARE = 0.5
+
+
+def _in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose id is in ids (a column __id)."""
+    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; a document without an id goes too."""
+    found = language.identify(docs, language.fit(docs))
+    good = found.where(f"lang_pred <> '{language.UNKNOWN}' and score >= {LEAST_SHARE}")
+    return _in(docs, good.select(F.col("doc_id").alias("__id")).distinct())
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return minhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight takes it."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, packed."""
+    return tokens.packed_tokens(docs)
+
+
+STAGES = [("language ID", language_id), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing sources to target weights", mix_sources), ("token-ID / binary output", pack)]
 
 #: No stage but the mix could be said in SQL, so the whole is tested against brute force instead.
 ORACLE_SQL = None
@@ -12,10 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents, each one's result written and read again."""
-    from xylem.llm.common import save
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else save(out, name.replace(" ", "_"))
+        docs = out if k == len(STAGES) - 1 else save(out, name.replace(" ", "_").lower())
     return docs
