@@ -1,16 +1,17 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is one word between blanks. Its gain is the bytes that it takes with the ordinary dictionary less those with
-the toxic one. Both dictionaries are trained on a bounded sample of labelled texts: first on the windows as they come,
-then the toxic one again and again on the windows of one half of the texts whose gain, by dictionaries of the other
-half, passes a quantile of the ordinary windows' gains. So only what recurs across toxic texts stays in it. A third
-part of the sample, seen by no dictionary, calibrates how a text's gains make a probability (logistic regression).
+A window is one word, written twice between blanks (so short, zstandard would rather store it as it is). Its gain is the bytes that it takes with the ordinary dictionary less those with
+the toxic one. Both dictionaries are trained on a bounded sample of labelled texts: the toxic one on the windows that stand
+in several toxic texts and in a larger share of them than of ordinary ones, so that it holds what sets them apart and
+not the language that both share, the ordinary one on the other windows of ordinary texts. A third of the sample, seen
+by no dictionary, calibrates how a text's gains make a probability (logistic regression), and so where its thresholds lie.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts to learn from, at most so many of either class (about; by a hash of the id), and windows of a half.
-TRAIN_TEXTS, TRAIN_WINDOWS = 3000, 120_000
-DICTIONARY_BYTES, LEVEL, ROUNDS = 4096, 3, 4
-#: A toxic window is kept beyond this quantile of the ordinary ones; a text is called toxic from this score on.
-QUANTILE, THRESHOLD = 0.998, 0.7
+#: Labelled texts to learn from, at most so many of either class (about; by a hash of the id), and ordinary windows.
+TRAIN_TEXTS, TRAIN_WINDOWS = 3000, 60_000
+DICTIONARY_BYTES, LEVEL = 4096, 19
+#: A telling window stands in so many toxic texts and in so many times the share of ordinary ones.
+LEAST_TEXTS, LEAST_RATIO = 4, 6.0
+#: Gains from this on are counted together.
+MOST_GAIN = 8
+#: A text is called toxic from this score on.
+THRESHOLD = 0.7
 #: Gains kept in a worker's memory.
 CACHE = 400_000
 
@@ -31,6 +36,10 @@ def windows(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
 
+def window(word: bytes) -> bytes:
+    return (b" " + word) * 2 + b" "
+
+
 def compressor(dictionary: bytes):
     data = zstandard.ZstdCompressionDict(dictionary)
     data.precompute_compress(level=LEVEL)
@@ -39,7 +48,7 @@ def compressor(dictionary: bytes):
 
 def train(samples: list[bytes]) -> bytes:
     """A dictionary; where there is too little to train on, the samples themselves."""
-    samples = [b" " + w + b" " for w in samples]
+    samples = [window(w) for w in samples]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -56,18 +65,20 @@ class Gains(dict):
     def __missing__(self, w: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        padded = b" " + w + b" "
+        padded = window(w)
         gain = self[w] = len(self.ordinary.compress(padded)) - len(self.toxic.compress(padded))
         return gain
 
 
 def features(text: str | None, gains: Gains) -> list[float]:
-    g = np.fromiter(map(gains.__getitem__, w), np.float64, len(w)) if (w := windows(text)) else np.zeros(1)
-    strong = float((g >= 3).sum())
-    return [1.0, max(float(g.max()), 0.0) / 5, float(np.log1p(strong)), float(np.log1p((g >= 2).sum())), float(strong > 0), float(np.log1p(1000 * strong / len(g))), float(np.log1p(len(g))) / 5]
+    """How many windows have each gain from 1 to MOST_GAIN (and above), and what share of the windows that is."""
+    w = windows(text)
+    g = np.fromiter(map(gains.__getitem__, w), np.int64, len(w))
+    at = np.bincount(np.clip(g, 0, MOST_GAIN), minlength=MOST_GAIN + 1)[1:].astype(float)
+    return [1.0, *np.log1p(at), *(5 * np.sqrt(at / max(1, len(w)))), float(np.log1p(len(w))) / 5]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0) -> np.ndarray:
     """Weights by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -84,29 +95,24 @@ def learn(texts: list[tuple[int, str, int]]) -> dict:
     """(id, text, label) -> {toxic, ordinary: dictionaries; weights}. The order of the rows does not matter."""
     texts = sorted(texts, key=lambda r: zlib.crc32(b"order%d" % r[0]))
     third = max(1, len(texts) // 3)
-    halves, rest = (texts[third : 2 * third], texts[2 * third :]), texts[:third]
+    rest, unseen = texts[third:], texts[:third]
     rng = random.Random(5)
 
-    def pool(rows: list, label: int) -> list[bytes]:
-        all_windows = [w for _, t, y in rows if y == label for w in windows(t)]
-        rng.shuffle(all_windows)
-        return all_windows[:TRAIN_WINDOWS]
-
-    toxic, ordinary = ([pool(h, y) for h in halves] for y in (1, 0))
-    plain = [train(x[: TRAIN_WINDOWS // 3]) for x in ordinary]
-    own = [train(x[: TRAIN_WINDOWS // 3]) for x in toxic]
-    kept: list[list[bytes]] = [[], []]
-    for _ in range(ROUNDS):
-        for k in (0, 1):
-            gains = Gains(own[1 - k], plain[1 - k])
-            usual = [gains[w] for w in ordinary[k]]
-            bar = float(np.quantile(usual, QUANTILE)) if usual else 0.0
-            kept[k] = [w for w in toxic[k] if gains[w] > bar] or kept[k]
-        own = [train(x) for x in kept]
-    model = {"toxic": train(kept[0] + kept[1]), "ordinary": train(ordinary[0][: TRAIN_WINDOWS // 4] + ordinary[1][: TRAIN_WINDOWS // 4])}
+    def pool(label: int) -> Counter:
+        """In how many texts of the label each window stands."""
+        return Counter(w for _, t, y in rest if y == label for w in dict.fromkeys(windows(t)))
+
+    toxic, ordinary = pool(1), pool(0)
+    n = [sum(y == label for _, _, y in rest) + 1 for label in (0, 1)]
+    over = {w for w, k in toxic.items() if k >= LEAST_TEXTS and (k + 0.5) / n[1] >= LEAST_RATIO * (ordinary[w] + 0.5) / n[0]}
+    usual = [w for w, k in ordinary.items() for _ in range(k) if w not in over]
+    rng.shuffle(usual)
+    telling = [w for w in sorted(over) for _ in range(toxic[w])]
+    rng.shuffle(telling)
+    model = {"toxic": train(telling), "ordinary": train(usual[:TRAIN_WINDOWS])}
     gains = Gains(model["toxic"], model["ordinary"])
-    x = np.array([features(t, gains) for _, t, _ in rest] or [[1.0] + [0.0] * 6])
-    y = np.array([label for *_, label in rest] or [0])
+    x = np.array([features(t, gains) for _, t, _ in unseen] or [features(None, gains)])
+    y = np.array([label for *_, label in unseen] or [0])
     return model | {"weights": logistic(x, y).tolist()}
 
 
