@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from xylem.functions.columns import finite
 
-SERIES = W.partitionBy("image_id").orderBy("r")
+
+def along() -> W:
+    return W.partitionBy("image_id").orderBy("r")
 
 
 def explode_series(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
@@ -21,13 +23,13 @@ def explode_series(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
 
 def central_difference(series: DataFrame, value: str = "v") -> DataFrame:
     """(next - previous) / 2; a series loses its two ends."""
-    d = (F.lead(value).over(SERIES) - F.lag(value).over(SERIES)) / 2
+    d = (F.lead(value).over(along()) - F.lag(value).over(along())) / 2
     return series.withColumn(value, d).where(F.col(value).isNotNull())
 
 
 def local_maxima(series: DataFrame, least: float | None = None, strict: bool = False) -> DataFrame:
     """Samples above both neighbours and, if given, at `least` or above (strict: above); ends and plateaus never count."""
-    prev, after = F.lag("v").over(SERIES), F.lead("v").over(SERIES)
+    prev, after = F.lag("v").over(along()), F.lead("v").over(along())
     on = (F.col("v") > prev) & (F.col("v") > after)
     if least is not None:
         on = on & ((F.col("v") > least) if strict else (F.col("v") >= least))
