@@ -121,8 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r.y: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, per_class / max(1, counts.get(1, 0))).otherwise(per_class / max(1, counts.get(0, 0)))
-    marks = marks.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 40)) < share * float(1 << 40))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(marks, "id")
+    chosen = marks.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 40)) < share * float(1 << 40)).collect()
+    # About 2 * per_class ids, so they are sent to the texts and no text is shuffled.
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     return learn([(r.id, r.text or "", r.y) for r in rows.collect()])
 
 
