@@ -315,3 +315,65 @@ def slow_task_count(spark: SparkSession, d: str) -> DataFrame:
     from xylem.operators.udfs import slow_task
 
     return slow_task(spark.range(0, 1000, 1, 100), seconds=0.0).agg(F.count("*").alias("n"), F.sum("doubled").alias("total"))
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The canvas as scanned images, enlarged so that rings have room, with a centre each."""
+    lines = canvas(spark, d)
+    wide = lines.select("image_id", F.explode(F.sequence(F.col("y") * 4, F.col("y") * 4 + 3)).alias("y"), F.transform("g", lambda v: F.repeat(F.lpad(F.hex(v.cast("int")), 2, "0"), 3)).alias("h"))
+    body = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "h"))), lambda p: F.array_join(p["h"], "")), ""))
+    out = wide.groupBy("image_id").agg(body.alias("data"), (F.max("y") + 1).cast("int").alias("height"))
+    return out.select(F.concat(F.lit("canvas"), F.col("image_id")).alias("image"), "height", F.lit(64 * 3).alias("width"), F.lit(1).alias("channels"), "data", F.lit(True).alias("ok"), F.lit(96.0).alias("x"), F.lit(100.0).alias("y"))
+
+
+@query
+def image_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.operators.vision import DEFAULT, KMeansRingCounter
+    from xylem.plans.pipeline import run_images
+
+    return run_images(_pictures(spark, d), lambda: [a() for a in DEFAULT if a is not KMeansRingCounter], 16).select("image", "algorithm", "ok", "rings", "radii")
+
+
+@query
+def kmeans_rings(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.operators.vision import KMeansRingCounter
+    from xylem.plans.pipeline import run_images
+
+    return run_images(_pictures(spark, d), lambda: [KMeansRingCounter()], 16).select("image", "rings", "radii")
+
+
+@query
+def image_slices(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.plans.pipeline import slice_images
+
+    return slice_images(_pictures(spark, d), 3, 8).select("image", "n_slices", "slice_no", "key", "x0", "y0", "w", "h", "status")
+
+
+@query
+def mock_ring_detection(spark: SparkSession, d: str) -> DataFrame:
+    """A count and a confidence that hang on the job's name alone."""
+    job = F.concat(F.lit("job-"), F.col("o_orderkey"))
+    rows = table(spark, d, "orders").select(job.alias("jobId"))
+    return rows.select("jobId", (20 + F.floor(C.uniform(F.col("jobId"), "rings") * 16)).cast("int").alias("count"), F.round(0.85 + 0.13 * C.uniform(F.col("jobId"), "confidence"), 3).alias("confidence"))
+
+
+@query
+def image_scan_status(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of the canvas, and one file that is none, written to the shared folder and scanned again."""
+    import uuid
+
+    from xylem.functions.image import encode_png
+    from xylem.sinks.objects import LocalStore, put_all
+    from xylem.sources.images import as_array, scan_images
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).removeprefix("file://").rstrip("/") + f"/images-{uuid.uuid4().hex}"
+
+    def encoded(batches):
+        for pdf in batches:
+            png = [encode_png(as_array(r.height, r.width, r.channels, r.data)) for r in pdf.itertuples()]
+            yield pdf.assign(key=pdf.image + ".PNG", content=png)[["key", "content"]]
+
+    files = _pictures(spark, d).select("image", "height", "width", "channels", "data").mapInPandas(encoded, "key string, content binary")
+    broken = spark.sql("select 'broken.png' as key, cast('no picture' as binary) as content")
+    put_all(files.unionAll(broken), LocalStore(root)).where("not ok").count()
+    return scan_images(spark, f"file://{root}").select("image", "height", "width", "channels", "ok")
