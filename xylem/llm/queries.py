@@ -21,7 +21,7 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(_fold(3) != 1))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def op7_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs.where(_fold(4) != 2)))
-    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,15 +165,17 @@ def _packed(capacity: int, matrix_rows: int):
 MATRIX = "pack_group long, matrix long, n_rows long, n_tokens long, ids binary, positions binary, n_segments array<int>, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
 
 
-def packed_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, row_tokens: int = ROW_TOKENS, group_tokens: int = GROUP_TOKENS, matrix_rows: int = MATRIX_ROWS) -> DataFrame:
+def packed_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, row_tokens: int = ROW_TOKENS, group_tokens: int = GROUP_TOKENS, matrix_rows: int = MATRIX_ROWS, groups: int | None = None) -> DataFrame:
     """The matrices of all texts of docs (see MATRIX).
 
     A null or empty text is an end mark alone; a null id stays null. Repeated rows are packed each. A group holds
-    about group_tokens whatever the keys, but one text is never parted among groups. The vocabulary file must be at
-    the same path on every executor. Other columns are neither read nor returned.
+    about group_tokens whatever the keys, but one text is never parted among groups. Their number comes from a pass over
+    the texts' lengths, or from the caller, who saves that pass. The vocabulary file must be at the same path on every
+    executor. Other columns are neither read nor returned.
     """
-    size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    groups = max(1, round(((size[0] or 0) / BYTES_PER_TOKEN + size[1]) / group_tokens))
+    if groups is None:
+        size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
+        groups = max(1, round(((size[0] or 0) / BYTES_PER_TOKEN + size[1]) / group_tokens))
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(text)), F.lit(groups)).alias("grp"), text.alias("text"))
     return rows.mapInArrow(_encoded(vocabulary, groups), "id long, grp long, ids binary").groupBy("grp").applyInPandas(_packed(row_tokens, matrix_rows), MATRIX)
