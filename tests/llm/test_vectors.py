@@ -37,9 +37,10 @@ def got(df):
     return sorted(((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [16, 1024])
-def test_links_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(16, 48), (1024, 48), (1024, 4), (16, 4)])
+def test_links_match_brute_force(spark, monkeypatch, block, small):
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SMALL", small)
     rng = np.random.default_rng(5)
     rows, n = [], 0
     for _ in range(15):
