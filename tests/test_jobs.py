@@ -150,3 +150,29 @@ def test_configuration(monkeypatch, spark):
     assert get_session("again").sparkContext is spark.sparkContext
     with pytest.raises(Exception, match="kafka"):
         stream.message_stream(spark, KafkaConfig())
+
+
+def test_small_surfaces(spark):
+    from xylem.operators import clusters, udfs
+    from xylem.operators.jobs import expected_slices
+
+    assert expected_slices(64) == {"files": 29_568, "label_bytes": 2_956_800}
+    udfs.register(spark)
+    assert spark.sql("select count(*), max(n_slices) from slices(3, 30)").first() == (462, 30)
+    jobs = spark.createDataFrame([("j", "u", "c", 1.0, 2.0)], "jobId string, file string, clientId string, x double, y double")
+    assert json.loads(udfs.mock_results(jobs, "t").first().value) == V.mock_result("j", "u", "c", 1.0, 2.0, "t")
+    rng = np.random.default_rng(1)
+    points = [(i, float(c[0] + rng.normal()), float(c[1] + rng.normal())) for i, c in enumerate([(0, 0), (50, 0), (0, 50)] * 40)]
+    df = spark.createDataFrame(points, "point_id long, a double, b double")
+    start = spark.createDataFrame([(0, 1.0, 1.0), (1, 20.0, 1.0), (2, 1.0, 20.0), (3, 9e9, 9e9)], "centroid_id int, a double, b double")
+    got = {r.centroid_id: (r.a, r.b) for r in clusters.lloyd(df, start, ("a", "b")).collect()}
+    for k, c in enumerate([(0, 0), (50, 0), (0, 50)]):
+        assert np.allclose(got[k], c, atol=1)
+    assert got[3] == (9e9, 9e9)
+    assert clusters.mllib_kmeans(df, ("a", "b"), 3).groupBy("cluster").count().where("count = 40").count() == 3
+
+
+def test_scaling_task(spark):
+    from xylem.operators.udfs import slow_task
+
+    assert slow_task(spark.range(0, 1000, 1, 100), 0.0).agg(F.count("*"), F.sum("doubled")).first() == (1000, 999_000)

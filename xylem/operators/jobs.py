@@ -55,3 +55,9 @@ def first_and_last(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
     """The first and the last n rows by a unique key: two bounded sorts, no window over all."""
     first, last = rows.orderBy(order).limit(n).withColumn("place", F.lit("first")), rows.orderBy(F.col(order).desc()).limit(n).withColumn("place", F.lit("last"))
     return first.unionAll(last)
+
+
+def expected_slices(images: int, low: int = 3, high: int = 30, label_bytes: int = 100) -> dict[str, int]:
+    """How many slice files a run will make, and about how many bytes of labels."""
+    n = images * sum(range(low, high + 1))
+    return {"files": n, "label_bytes": n * label_bytes}

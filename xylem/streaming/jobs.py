@@ -25,7 +25,7 @@ def results(stream: DataFrame, pipeline: Callable[[DataFrame], DataFrame], parti
 
 
 def start(out: DataFrame, sink: str | Callable, checkpoint: str, config: KafkaConfig | None = None, available_now: bool = False, path: str | None = None) -> StreamingQuery:
-    """Starts the query: sink is `kafka`, a file format, or a function of (batch, batch_id).
+    """Starts the query: sink is `kafka`, `console`, a file format, or a function of (batch, batch_id).
 
     At least once: a batch that is replayed is written again, under the same object keys.
     """
@@ -35,7 +35,8 @@ def start(out: DataFrame, sink: str | Callable, checkpoint: str, config: KafkaCo
     elif sink == "kafka":
         writer = writer.format("kafka").options(**(config or KafkaConfig()).write_options())
     else:
-        writer = writer.format(sink).option("path", path)
+        writer = writer.format(sink)
+        writer = writer.option("path", path) if path else writer
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
