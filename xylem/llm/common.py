@@ -40,7 +40,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+class Scratch:
+    """Tables of one operator: result() writes what it returns and deletes the others."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(save(df, name))
+        return self.tables[-1]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = save(df, name)
+        for table in self.tables:
+            discard(table)
+        self.tables = []
+        return out
+
+
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of longs -> (node, component), the smallest node reachable.
 
     Alternates large-star and small-star steps; each step is a partial minimum and an equi-join,
@@ -63,6 +81,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         links = after
     else:
         raise RuntimeError(f"links are not settled after {max_rounds} rounds")
+    if scratch:
+        scratch.tables.append(links)
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Powers, chunks, connected_components, mix64, save, shingle_hashes, text_bytes, word_hashes
+from xylem.llm.common import Powers, Scratch, chunks, connected_components, mix64, shingle_hashes, text_bytes, word_hashes
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -181,10 +181,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
-def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. texts: (id, text)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = save(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items binary"), "sets")
+    sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items binary"), "sets")
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
@@ -197,51 +197,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id is linked with nothing: component_id null, kept true. Other columns of docs are neither read nor returned.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = save(signatures(docs, id_col, text_col), "signatures")
+    scratch = Scratch()
+    rows = scratch.save(signatures(docs, id_col, text_col), "signatures")
     known = rows.where("n > 0 and id is not null")
 
     # Classes of equal sets. Lone classes need no row: their documents stand for themselves.
     classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where("copies > 1")
     salted = classes.select("f1", "f2", "n", "class", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     member = rows.select("id", "n", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
-    member = save(member.join(salted, ["f1", "f2", "n", "salt"], "left").select("id", "n", F.coalesce("class", "id").alias("class")), "members")
+    member = scratch.save(member.join(salted, ["f1", "f2", "n", "salt"], "left").select("id", "n", F.coalesce("class", "id").alias("class")), "members")
     reps = known.join(member.where("n > 0 and id <> class").select("id").distinct(), "id", "left_anti")
 
     # Buckets with two classes at least.
     entries = reps.select("id", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    entries = save(entries.join(hubs, "key"), "entries")
+    entries = scratch.save(entries.join(hubs, "key"), "entries")
 
     # Each member against the smallest of its bucket.
     pairs = entries.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     sig = reps.select("id", "sig")
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b")
-    pairs = save(pairs.select("a", "b", "s", "t").mapInArrow(_estimated, "a long, b long"), "pairs")
-    links = save(confirm(texts, pairs), "confirmed")
-    found = save(connected_components(links), "components")
+    pairs = scratch.save(pairs.select("a", "b", "s", "t").mapInArrow(_estimated, "a long, b long"), "pairs")
+    links = scratch.save(confirm(texts, pairs, scratch), "confirmed")
+    found = scratch.save(connected_components(links, scratch), "components")
 
     # Buckets that still hold several components: which of these might be joined?
     placed = entries.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_rows = save(placed.join(mixed, "key"), "open")
+    open_rows = scratch.save(placed.join(mixed, "key"), "open")
     near = _blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).groupBy("key", "low", "high").applyInPandas(lambda pdf: _cross(pdf, False), "a long, b long")
-    groups = connected_components(near)
+    groups = connected_components(near, scratch)
     waiting = open_rows.select("id", "comp").distinct().join(groups.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp")
-    waiting = save(waiting, "waiting")
-    if waiting.isEmpty():
-        more = links.limit(0)
-    else:
+    waiting = scratch.save(waiting, "waiting")
+    if not waiting.isEmpty():
         sets = texts.join(waiting.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, items binary")
         held = _blocked(waiting.join(sig, "id").join(sets, "id"), ["grp"], BLOCK)
         more = held.groupBy("grp", "low", "high").applyInPandas(lambda pdf: _cross(pdf, True), "a long, b long")
         links = links.select("a", "b").unionAll(more)
-        found = connected_components(links.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        found = connected_components(links.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
 
     out = member.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     alone = F.col("n") == 0
     component = F.when(alone, F.col("id")).otherwise(F.coalesce("component", "class"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return scratch.result(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "duplicates")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

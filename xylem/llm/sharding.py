@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import save
+from xylem.llm.common import discard, save
 
 BITS = 5
 SHARDS = 16
@@ -77,7 +77,9 @@ def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source"),
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "crc", "id", "size"]
     placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = save(placed, "placed").withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)})
+    placed = save(placed, "placed")
+    discard(slim)
+    placed = placed.withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)})
     counts = sorted((r.part, r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # one number a partition
     total, before = 0, {}
     for part, n in counts:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import connected_components, mix64, save
+from xylem.llm.common import Scratch, connected_components, mix64
 from xylem.llm.minhash import SALT, Forest, _blocked
 
 LEAST_COSINE = 0.98
@@ -198,12 +198,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     share an id but differ otherwise count as one node. Other columns are neither read nor returned.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = save(source.mapInArrow(_prepared, "id long, fp binary, raw binary, keys binary"), "vectors")
+    scratch = Scratch()
+    rows = scratch.save(source.mapInArrow(_prepared, "id long, fp binary, raw binary, keys binary"), "vectors")
     known = rows.where("fp is not null")
     classes = known.groupBy("fp").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     salted = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     member = rows.select("id", "fp", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
-    member = save(member.join(salted, ["fp", "salt"], "left").select("id", F.coalesce("class", "id").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
+    member = scratch.save(member.join(salted, ["fp", "salt"], "left").select("id", F.coalesce("class", "id").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
     reps = known.join(member.where("id <> class").select("id").distinct(), "id", "left_anti")
     sizes = member.groupBy(F.col("class").alias("id")).agg(F.max("copies").alias("copies"))
 
@@ -212,10 +213,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     entries = entries.join(shared, "key").join(reps.select("id", "raw", "keys"), "id").join(sizes, "id")
     blocks = _blocked(entries, ["key"], BLOCK).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "id")
     blocks = blocks.select("key", "low", "high", F.col("side").cast("long").alias("side"), "id", F.col("copies").cast("long").alias("copies"), "raw", "keys")
-    met = save(blocks.mapInArrow(_linked, "id long, found long, root long"), "met")
+    met = scratch.save(blocks.mapInArrow(_linked, "id long, found long, root long"), "met")
     counts = met.groupBy("id").agg(F.sum("found").alias("found"))
-    parts = connected_components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    parts = connected_components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
 
     out = member.join(counts.withColumnRenamed("id", "class"), "class", "left").join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
     out = out.select(F.col("id").alias(id_col), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return scratch.result(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "duplicates")
