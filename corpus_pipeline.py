@@ -9,7 +9,7 @@ from xylem.llm import contamination, language, minhash, mixing, tokens
 from xylem.llm.common import save
 
 #: A text whose likeliest language has a smaller share than this is rejected, as is one without letters.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 
 
 def _in(docs: DataFrame, ids: DataFrame) -> DataFrame:
