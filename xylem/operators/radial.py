@@ -22,39 +22,58 @@ def ray_grid(spark: SparkSession, cx: float, cy: float, radii: range, angles: in
 
 
 def sampled(lines: DataFrame, grid: DataFrame) -> DataFrame:
-    """(image_id, t, r, v): the value under each sample that lies within the image."""
-    met = lines.join(F.broadcast(grid), "y").where((F.col("x") >= 0) & (F.col("x") < F.size("g")))
-    return met.select("image_id", "t", "r", F.get("g", F.col("x")).alias("v"))
+    """(image_id, t, r, v): the value under each sample that lies within the image; an image that no ray meets has a row of nulls."""
+    met = lines.join(F.broadcast(grid), "y", "left").withColumn("__in", (F.col("x") >= 0) & (F.col("x") < F.size("g")))
+    inside = lambda c: F.when(F.col("__in"), c)
+    return met.select("image_id", inside(F.col("t")).alias("t"), inside(F.col("r")).alias("r"), inside(F.get("g", F.col("x"))).alias("v"))
 
 
 def ray_profile(lines: DataFrame, cx: float, cy: float, radii: range, angles: int = 360) -> DataFrame:
-    """(image_id, r, v): the mean over all rays, a sample outside counting as 0."""
+    """(image_id, r, v): the mean over all rays, a sample outside counting as 0.
+
+    Sums by radius leave the scan; only they are shuffled, and gathered by image for the radii that no ray met.
+    """
     sums = sampled(lines, ray_grid(lines.sparkSession, cx, cy, radii, angles)).groupBy("image_id", "r").agg(F.sum("v").alias("s"))
-    every = lines.select("image_id").distinct().withColumn("r", F.explode(F.sequence(F.lit(radii.start), F.lit(radii.stop - 1)))) if len(radii) else sums.select("image_id", "r")
-    return every.join(sums, ["image_id", "r"], "left").select("image_id", "r", (F.coalesce("s", F.lit(0.0)) / angles).alias("v"))
+    held = sums.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "s")))).alias("m"))
+    every = F.sequence(F.lit(radii.start), F.lit(radii.stop - 1)) if len(radii) else F.array().cast("array<int>")
+    return held.select("image_id", F.explode(F.transform(every, lambda r: F.struct(r.alias("r"), (F.coalesce(F.try_element_at("m", r), F.lit(0.0)) / angles).alias("v")))).alias("z")).select("image_id", "z.*")
 
 
 def polar(lines: DataFrame, cx: float, cy: float, max_radius: int, angles: int = 360) -> DataFrame:
-    """(image_id, t, r, v) of the nearest pixels; what lies outside the image is 0."""
+    """(image_id, r, a): at each radius the values by angle, of the nearest pixels; what lies outside the image is 0."""
     grid = ray_grid(lines.sparkSession, cx, cy, range(max_radius), angles, truncate=False)
-    every = lines.select("image_id").distinct().join(F.broadcast(grid.select("t", "r")))
-    return every.join(sampled(lines, grid), ["image_id", "t", "r"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    held = sampled(lines, grid).groupBy("image_id", "r").agg(F.map_from_entries(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "v")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)))
+    rows = held.where("r is not null").select("image_id", "r", dense.alias("a"))
+    full = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "a"))).alias("m"))
+    nothing = F.array_repeat(F.lit(0.0), angles)
+    each = F.transform(F.sequence(F.lit(0), F.lit(max_radius - 1)), lambda r: F.struct(r.alias("r"), F.coalesce(F.try_element_at("m", r), nothing).alias("a")))
+    return full.select("image_id", F.explode(each).alias("z")).select("image_id", "z.*")
 
 
 def angular_median(polar_rows: DataFrame, size: int = 5, angles: int = 360) -> DataFrame:
-    """Median over `size` neighbouring angles at each radius; the ends are mirrored, the end sample twice."""
+    """polar rows with the median over `size` (odd) neighbouring angles; the ends are mirrored, the end angle twice."""
     half = size // 2
-    targets = polar_rows.select("image_id", "r", F.col("t").alias("of"), F.explode(F.sequence(F.col("t") - half, F.col("t") + half)).alias("__s"))
-    folded = F.when(F.col("__s") < 0, -F.col("__s") - 1).when(F.col("__s") >= angles, 2 * angles - 1 - F.col("__s")).otherwise(F.col("__s"))
-    targets = targets.withColumn("t", folded).drop("__s")
-    return targets.join(polar_rows, ["image_id", "r", "t"]).groupBy("image_id", "r", "of").agg(F.percentile("v", 0.5).alias("v")).withColumnRenamed("of", "t")
+    at = lambda t: F.get("a", F.when(t < 0, -t - 1).when(t >= angles, 2 * angles - 1 - t).otherwise(t))
+    around = lambda t: F.array(*[at(t + d) for d in range(-half, half + 1)])
+    return polar_rows.withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda t: F.get(F.array_sort(around(t)), F.lit(half))))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+
+
+def angular_mean(polar_rows: DataFrame) -> DataFrame:
+    """(image_id, r, v)."""
+    return polar_rows.select("image_id", "r", _mean(F.col("a")).alias("v"))
 
 
 def sector_profiles(polar_rows: DataFrame, sectors: int = 8, angles: int = 360) -> DataFrame:
     """(image_id, sector, r, v): means within sectors of whole angles, the last one taking the remainder."""
     width = angles // sectors
-    sector = F.least(F.floor(F.col("t") / width), F.lit(sectors - 1)).cast("int")
-    return polar_rows.groupBy("image_id", sector.alias("sector"), "r").agg(F.avg("v").alias("v"))
+    part = lambda k: F.slice("a", k * width + 1, F.when(k < sectors - 1, F.lit(width)).otherwise(angles - width * (sectors - 1)))
+    means = F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), lambda k: _mean(part(k)))
+    return polar_rows.select("image_id", "r", F.posexplode(means).alias("sector", "v")).select("image_id", "sector", "r", "v")
 
 
 def sector_of(x: Column, y: Column, cx: float, cy: float, n: Column | int) -> Column:
@@ -78,13 +97,15 @@ def manifest(images: DataFrame, low: int = 3, high: int = 30) -> DataFrame:
     return rows.withColumn("key", slice_key(F.col("image"), F.col("n_slices"), F.col("slice_no")))
 
 
-def nearest(points: DataFrame, centroids: DataFrame, dims: tuple[str, ...], id_col: str = "point_id") -> DataFrame:
-    """points with their nearest centroid (centroid_id, dims); ties go to the smaller id. The centroids, K rows, are one broadcast array: no cross join."""
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid_id", *dims))).alias("__c"))
-    held = points.join(F.broadcast(packed))
+def nearest(points: DataFrame, centroids: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """points with their nearest centroid_id; ties go to the smaller one.
+
+    The K centroids (centroid_id, dims) come to the driver and go out as a literal array: no join and no shuffle.
+    """
+    rows = sorted(centroids.select("centroid_id", *dims).collect())
+    known = F.array(*[F.struct(F.lit(r[0]).alias("k"), *[F.lit(float(v)).alias(d) for d, v in zip(dims, r[1:], strict=True)]) for r in rows])
     distance = lambda c: sum(((F.col(d) - c[d]) * (F.col(d) - c[d]) for d in dims[1:]), (F.col(dims[0]) - c[dims[0]]) * (F.col(dims[0]) - c[dims[0]]))
-    best = F.array_min(F.transform("__c", lambda c: F.struct(distance(c).alias("d"), c["centroid_id"].alias("k"))))
-    return held.withColumn("centroid_id", best["k"]).drop("__c")
+    return points.withColumn("centroid_id", F.array_min(F.transform(known, lambda c: F.struct(distance(c).alias("d"), c["k"].alias("k"))))["k"])
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame, dims: tuple[str, ...]) -> DataFrame:

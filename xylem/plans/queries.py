@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from xylem.functions import columns as C
@@ -88,8 +89,9 @@ def message_number_extract_sum(spark: SparkSession, d: str) -> DataFrame:
 @query
 def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
-    distinct = labels.agg(F.countDistinct("quality").alias("n_distinct"))
-    return labels.groupBy("quality", "toxic").agg(F.count("*").alias("n")).orderBy("quality", "toxic").limit(10).join(F.broadcast(distinct))
+    few = labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"))  # a row per label: the window below is over these
+    distinct = F.size(F.collect_set("quality").over(W.partitionBy(F.lit(1)))).cast("long")
+    return few.withColumn("n_distinct", distinct).orderBy("quality", "toxic").limit(10)
 
 
 @query
@@ -171,12 +173,12 @@ def polar_sector_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def angular_mean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(radial.polar(canvas(spark, d), *CENTRE, 30).groupBy("image_id", "r").agg(F.avg("v").alias("v")), "v")
+    return rounded(radial.angular_mean(radial.polar(canvas(spark, d), *CENTRE, 30)), "v")
 
 
 @query
 def angular_median(spark: SparkSession, d: str) -> DataFrame:
-    return radial.angular_median(radial.polar(canvas(spark, d), *CENTRE, 30)).select("image_id", "t", "r", "v")
+    return radial.angular_median(radial.polar(canvas(spark, d), *CENTRE, 30)).select("image_id", "r", F.posexplode("a").alias("t", "v"))
 
 
 @query
