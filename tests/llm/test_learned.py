@@ -38,6 +38,11 @@ def test_language_of_unseen_texts(spark, corpus, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(corpus, nothing).collect()} == {"und"}
 
 
+def test_letters():
+    assert language.words("x² ½") == ["x²", "½"] and language.words("² ½ 12") == language.words(None) == language.words(" -- ") == []
+    assert language.words("Ünï code-MIX") == ["ünï", "code", "mix"]
+
+
 def test_full_table_of_words_changes_nothing(spark, corpus, monkeypatch):
     model = language.fit(corpus)
     few = [r.text for r in corpus.limit(50).collect()]

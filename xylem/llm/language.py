@@ -29,7 +29,7 @@ BACKOFF = 0.4
 
 def words(text: str | None) -> list[str]:
     found = WORD.findall((text or "").lower())
-    return found if any(map(str.isalpha, found)) else []
+    return found if any(c.isalpha() for w in found for c in w) else []
 
 
 def grams(word: str):
