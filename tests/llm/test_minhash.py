@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from xylem.llm import minhash
-from xylem.llm.common import Powers, connected_components
+from xylem.llm.common import Powers, connected_components, group_starts, small_pairs, whole_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -68,8 +68,10 @@ def test_families_match_brute_force(spark):
     assert all(r.n_shingles == len(shingles(dict(rows)[d])) and r.kept == (d == want[d]) for d, r in got.items())
 
 
-def test_large_group_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 48])
+def test_large_group_in_small_blocks(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(2)
     base = [f"v{i}" for i in range(120)]
     rows = [(i, edited(rng, base, rng.randrange(2, 12))) for i in range(150)]
@@ -117,3 +119,25 @@ def test_components(spark, links):
             if a != b:
                 up[a] = up[b] = min(up[a], up[b])
     assert got == up
+
+
+def test_groups_are_whole_and_pairs_complete():
+    rng = random.Random(3)
+    key = sorted(rng.randrange(40) for _ in range(300))
+    cross = [k % 2 == 0 for k in key]
+    side = [rng.randrange(2) if c else 0 for c in cross]
+    rows = sorted(zip(key, side, range(300)))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(3)], ["key", "side", "id"])
+    cuts = sorted({0, 300, *(rng.randrange(300) for _ in range(25))})
+    parts = [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])] + [batch.slice(0, 0)]
+    seen, pairs = set(), []
+    for got in whole_groups(iter(parts), ("key",)):
+        k, s, ids = (got.column(c).to_numpy() for c in ("key", "side", "id"))
+        assert seen.isdisjoint(k.tolist())
+        seen |= set(k.tolist())
+        starts, ends = group_starts(k)
+        for i, j, g in small_pairs(starts, ends, s, k % 2 == 0, 7):
+            assert (k[i] == k[j]).all() and (starts[g] <= i).all() and (i < ends[g]).all()
+            pairs += [frozenset((x, y)) for x, y in zip(ids[i].tolist(), ids[j].tolist())]
+    want = {frozenset((a, b)) for ka, sa, a in rows for kb, sb, b in rows if ka == kb and a < b and (ka % 2 or sa != sb)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want

@@ -183,3 +183,84 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for j in range(size):
         total += words[j : n - size + 1 + j] * PLACE[j]
     return mix64(total)
+
+
+# --- groups of rows, compared in blocks ---
+
+
+class Forest:
+    """Union of small sets of numbers within a task."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def blocked(rows: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Each row once for every pair of blocks that its own block is in; blocks cut a group evenly by a hash of the id."""
+    counts = rows.groupBy(*group).agg(F.count("*").alias("members")).where("members > 1")
+    rows = rows.join(counts, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("members", "blocks", "own", "other")
+
+
+def whole_groups(batches, columns: tuple[str, ...]):
+    """Batches of sorted rows, cut anew so that none ends within a group of equal columns."""
+    rest: list[pa.RecordBatch] = []
+    glued = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if rest and any(rest[-1].column(c)[-1].as_py() != v[0] for c, v in zip(columns, values, strict=True)):
+            yield glued(rest)
+            rest = []
+        other = np.flatnonzero(np.logical_or.reduce([v != v[-1] for v in values]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield glued([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield glued(rest)
+
+
+def group_starts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of equal rows begins and ends."""
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    return starts, np.append(starts[1:], len(columns[0]))
+
+
+def small_pairs(starts: np.ndarray, ends: np.ndarray, side: np.ndarray, cross: np.ndarray, most: int):
+    """(row, row, group) arrays of at most about `most` pairs: all pairs of each group, or, where cross, those of side 0 with side 1 (rows sorted by side)."""
+    if not len(starts):
+        return
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)])
+    ones = np.concatenate([[0], np.cumsum(side[rows] == 0)])
+    offset = np.concatenate([[0], np.cumsum(ends - starts)])
+    zeros = ones[offset[1:]] - ones[offset[:-1]]
+    first = np.where(cross[rows], starts[group] + zeros[group], rows + 1)
+    count = np.where(cross[rows] & (side[rows] != 0), 0, ends[group] - first)
+    total = np.cumsum(count)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = count[at:to]
+        i = np.repeat(rows[at:to], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n)
+        yield i, j, np.repeat(group[at:to], n)
+        at = to

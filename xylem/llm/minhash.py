@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Powers, Scratch, chunks, connected_components, mix64, shingle_hashes, text_bytes, word_hashes
+from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, group_starts, mix64, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -30,6 +30,8 @@ SIG_WORDS = -(-PERMUTATIONS * LOW_BITS // 64)
 LEAST_ESTIMATE = 0.56
 #: Classes of one block of the exact step; a task holds two blocks.
 BLOCK = 256
+#: Buckets of no more rows are compared pair by pair, many at once; so many pairs at a time.
+SMALL, PAIRS = 48, 1 << 17
 #: Copies of a class row, so that a large class's documents meet it in as many tasks.
 SALT = 16
 
@@ -125,27 +127,34 @@ def _confirmed(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class Forest:
-    """Union of small sets of numbers within a task."""
+def _near(batches):
+    """Whole groups (key, low, high) of rows (comp, sig), sorted by these and side: pairs of components that the estimate cannot part, as a forest."""
+    for batch in whole_groups(batches, ("key", "low", "high")):
+        key, low, high, side, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high", "side", "comp"))
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, SIG_WORDS)
+        starts, ends = group_starts(key, low, high)
+        forest, out = Forest(), []
 
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        def joined(a: np.ndarray, b: np.ndarray) -> None:
+            a, b = a[comp[a] != comp[b]], b[comp[a] != comp[b]]
+            near = estimates(sig[a], sig[b]) >= LEAST_ESTIMATE
+            for x, y in np.unique(np.stack([comp[a[near]], comp[b[near]]], axis=1), axis=0).tolist():
+                if forest.join(x, y):
+                    out.append((x, y))
 
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
+        large = ends - starts > SMALL
+        for i, j, _ in small_pairs(starts[~large], ends[~large], side, low != high, PAIRS):
+            joined(i, j)
+        for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+            rows = np.arange(s, e)
+            one, two = (rows, rows) if low[s] == high[s] else (rows[side[s:e] == 0], rows[side[s:e] == 1])
+            for i in one:
+                joined(np.full(len(two), i), two)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
 
-
-def _cross(pdf, exact: bool):
-    """Pairs of components that the estimate cannot part (or, exact, that a confirmed link joins), as a forest.
+def _cross(pdf):
+    """Links that are confirmed between components, as a forest.
 
     pdf: rows of two blocks (side 0 and 1), or of one block met with itself (side 0 alone).
     """
@@ -155,28 +164,19 @@ def _cross(pdf, exact: bool):
     two = one if len(two) == 0 else two
     sig = lambda x: np.frombuffer(b"".join(x.sig), np.uint64).reshape(-1, SIG_WORDS)
     left, right, cl, cr, il, ir = sig(one), sig(two), one.comp.to_numpy(), two.comp.to_numpy(), one.id.to_numpy(), two.id.to_numpy()
-    sets = [[np.frombuffer(s, np.uint64) for s in x["items"]] for x in (one, two)] if exact else None
+    sets = [[np.frombuffer(s, np.uint64) for s in x["items"]] for x in (one, two)]
     forest, out = Forest(), []
     for i in range(len(one)):
         maybe = np.flatnonzero((cr != cl[i]) & (ir != il[i]))
         maybe = maybe[estimates(left[i], right[maybe]) >= LEAST_ESTIMATE]
         for j in maybe:
             a, b = int(cl[i]), int(cr[j])
-            if forest.root(a) != forest.root(b) and (not exact or _similar(sets[0][i], sets[1][j])):
+            if forest.root(a) != forest.root(b) and _similar(sets[0][i], sets[1][j]):
                 forest.join(a, b)
                 out.append((a, b))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _blocked(rows: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in; blocks cut a group evenly by a hash of the id."""
-    counts = rows.groupBy(*group).agg(F.count("*").alias("members")).where("members > 1")
-    rows = rows.join(counts, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("members", "blocks", "own", "other")
-
-
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
@@ -225,14 +225,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = entries.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_rows = scratch.save(placed.join(mixed, "key"), "open")
-    near = _blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).groupBy("key", "low", "high").applyInPandas(lambda pdf: _cross(pdf, False), "a long, b long")
+    near = blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("side").cast("long").alias("side"), "comp", "sig")
+    near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(_near, "a long, b long")
     groups = connected_components(near, scratch)
     waiting = open_rows.select("id", "comp").distinct().join(groups.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp")
     waiting = scratch.save(waiting, "waiting")
     if not waiting.isEmpty():
         sets = texts.join(waiting.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, items binary")
-        held = _blocked(waiting.join(sig, "id").join(sets, "id"), ["grp"], BLOCK)
-        more = held.groupBy("grp", "low", "high").applyInPandas(lambda pdf: _cross(pdf, True), "a long, b long")
+        held = blocked(waiting.join(sig, "id").join(sets, "id"), ["grp"], BLOCK)
+        more = held.groupBy("grp", "low", "high").applyInPandas(_cross, "a long, b long")
         links = links.select("a", "b").unionAll(more)
         found = connected_components(links.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
 

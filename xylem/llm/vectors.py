@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Scratch, connected_components, mix64
-from xylem.llm.minhash import SALT, Forest, _blocked
+from xylem.llm.common import Forest, Scratch, blocked, connected_components, group_starts, mix64, small_pairs, whole_groups
+from xylem.llm.minhash import SALT
 
 LEAST_COSINE = 0.98
 TABLES, PROJECTIONS, WIDTH = 28, 12, 1.5
@@ -115,50 +115,39 @@ def _dense(raw, keys, copies, ids, one, two, table, found, edges) -> None:
     edges.append(np.stack([rows[on], rows[root[on]]], axis=1))
 
 
-def _sparse(raw, keys, copies, ids, i, j, table, found, edges) -> None:
+def _sparse(raw, keys, copies, ids, a, b, table, found, edges) -> None:
     """Pairs of rows of small groups, and the table of each."""
-    size = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    for k in range(0, len(i), PAIRS):
-        a, b, t = i[k : k + PAIRS], j[k : k + PAIRS], table[k : k + PAIRS]
-        first = (keys[a] == keys[b]).argmax(axis=1) == t
-        a, b = a[first], b[first]
-        near = (np.einsum("ij,ij->i", raw[a], raw[b]) / size[a] / size[b] >= LEAST_COSINE) & (ids[a] != ids[b])
-        a, b = a[near], b[near]
-        np.add.at(found, a, copies[b])
-        np.add.at(found, b, copies[a])
-        forest = Forest()
-        edges.append(np.array([(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)], np.int64).reshape(-1, 2))
+    first = (keys[a] == keys[b]).argmax(axis=1) == table
+    a, b = a[first], b[first]
+    x, y = raw[a], raw[b]
+    length = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
+    near = (np.einsum("ij,ij->i", x, y) / length[0] / length[1] >= LEAST_COSINE) & (ids[a] != ids[b])
+    a, b = a[near], b[near]
+    np.add.at(found, a, copies[b])
+    np.add.at(found, b, copies[a])
+    forest = Forest()
+    edges.append(np.array([(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)], np.int64).reshape(-1, 2))
 
 
 def _met(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Whole groups (key, low, high), sorted by these and side: rows (id, found, root) of the links that are first met here."""
     column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
     ids, copies, key, low, high, side = (column(c) for c in ("id", "copies", "key", "low", "high", "side"))
-    widths = {len(x) for x in batch.column("raw").to_pylist()}
     found, edges = np.zeros(len(ids), np.int64), []
     keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(len(ids), TABLES)
-    width = max(widths)
-    raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in batch.column("raw").to_pylist()), np.float64).reshape(len(ids), -1)
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-    ends = np.append(starts[1:], len(ids))
+    values = batch.column("raw").to_pylist()
+    width = max(map(len, values))  # vectors of other lengths never share a group
+    raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.float64).reshape(len(ids), -1)
+    starts, ends = group_starts(key, low, high)
     table = (keys[starts] == key[starts, None]).argmax(axis=1)
-    small_i, small_j, small_t = [], [], []
-    for s, e, t in zip(starts.tolist(), ends.tolist(), table.tolist(), strict=True):
+    large = ends - starts > SMALL
+    for s, e, t in zip(starts[large].tolist(), ends[large].tolist(), table[large].tolist(), strict=True):
         rows = np.arange(s, e)
         one, two = (rows, rows) if low[s] == high[s] else (rows[side[s:e] == 0], rows[side[s:e] == 1])
-        if not len(one) or not len(two):
-            continue
-        if e - s > SMALL:
+        if len(one) and len(two):
             _dense(raw, keys, copies, ids, one, two, t, found, edges)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(one, two, indexing="ij"))
-            if one is two:
-                i, j = i[i < j], j[i < j]
-            small_i.append(i)
-            small_j.append(j)
-            small_t.append(np.full(len(i), t))
-    if small_i:
-        _sparse(raw, keys, copies, ids, np.concatenate(small_i), np.concatenate(small_j), np.concatenate(small_t), found, edges)
+    for i, j, group in small_pairs(starts[~large], ends[~large], side, low != high, PAIRS):
+        _sparse(raw, keys, copies, ids, i, j, table[~large][group], found, edges)
     pairs = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
     counted = np.flatnonzero(found)
     out_id, out_root = np.concatenate([ids[counted], ids[pairs[:, 0]]]), np.concatenate([ids[counted], ids[pairs[:, 1]]])
@@ -166,27 +155,8 @@ def _met(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _linked(batches):
-    """Sorted rows in batches: each group is handled when its last row is there."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        group = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high")]
-        last = np.flatnonzero(np.logical_or.reduce([g != g[-1] for g in group])) if len(batch) else np.zeros(0, int)
-        if len(last):
-            cut = int(last[-1]) + 1
-            yield _met(_joined([*rest, batch.slice(0, cut)]))
-            rest = [batch.slice(cut)]
-        elif len(batch):
-            # all rows are of one group, which may or may not be the one that is held
-            if rest and any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("key", "low", "high")):
-                yield _met(_joined(rest))
-                rest = []
-            rest.append(batch)
-    if rest:
-        yield _met(_joined(rest))
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    for groups in whole_groups(batches, ("key", "low", "high")):
+        yield _met(groups)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -211,7 +181,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     entries = reps.select("id", "keys").mapInArrow(_keys_of, "id long, key long")
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     entries = entries.join(shared, "key").join(reps.select("id", "raw", "keys"), "id").join(sizes, "id")
-    blocks = _blocked(entries, ["key"], BLOCK).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "id")
+    blocks = blocked(entries, ["key"], BLOCK).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "id")
     blocks = blocks.select("key", "low", "high", F.col("side").cast("long").alias("side"), "id", F.col("copies").cast("long").alias("copies"), "raw", "keys")
     met = scratch.save(blocks.mapInArrow(_linked, "id long, found long, root long"), "met")
     counts = met.groupBy("id").agg(F.sum("found").alias("found"))
