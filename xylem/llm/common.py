@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once (a longer text is handled alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Rows of a batch whose results a kernel holds at once.
+PART_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -139,6 +141,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def parts(batches):
+    """The batches in slices, so that what a kernel makes of one does not grow with the batch."""
+    for batch in batches:
+        for k in range(0, len(batch), PART_ROWS):
+            yield batch.slice(k, PART_ROWS)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
     """Ranges of rows of at most `most` bytes together, or of one row."""
     i, n = 0, len(offsets) - 1

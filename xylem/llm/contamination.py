@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Powers, chunks, mix64, text_bytes, word_hashes
+from xylem.llm.common import Powers, chunks, mix64, parts, text_bytes, word_hashes
 
 #: Walks, samples of each walk, places of a sample.
 WALKS, SAMPLES, PLACES = 5, 3, 5
@@ -141,7 +141,7 @@ def _matched(shared):
     def matched(batches):
         table, powers = shared.value, Powers()
         filters = {w: np.unpackbits(t[3]).astype(bool) for w, t in table["tables"].items()}
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             body, offsets = text_bytes(batch.column("text"))
             ids = batch.column("id").to_pylist()

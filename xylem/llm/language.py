@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from xylem.llm.common import parts
+
 #: Texts to learn from per language (about; chosen by a hash of the id), and what is kept of them.
 TRAIN_TEXTS, WORDS, GRAMS, LONGEST = 3000, 30_000, 8_000, 4
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Unseen words kept in a worker's memory.
-CACHE = 300_000
+CACHE = 200_000
 #: What a backoff costs: an n-gram tells less than a word.
 BACKOFF = 0.4
 
@@ -43,8 +45,9 @@ def _counted(batches):
     """(lang, text) -> (lang, n, item, times): words have n = 0."""
     for batch in batches:
         of: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            of.setdefault(lang, Counter()).update(words(text))
+        for part in parts([batch]):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                of.setdefault(lang, Counter()).update(words(text))
         rows: Counter = Counter()
         for lang, count in of.items():
             for w, k in count.items():
@@ -125,7 +128,7 @@ def _predicted(shared):
     def predicted(batches):
         model = shared.value
         langs, rows = model["langs"], Rows(model) if model["langs"] else None
-        for batch in batches:
+        for batch in parts(batches):
             names, scores = [], []
             for text in batch.column("text").to_pylist():
                 found = words(text) if langs else []

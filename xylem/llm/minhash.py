@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, group_starts, mix64, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
+from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, group_starts, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -84,7 +84,7 @@ def _binary(arrays: list[np.ndarray]) -> pa.Array:
 def _signatures(batches):
     """(id, text) -> (id, n, f1, f2, bands, sig): set size, fingerprint of the set, band keys, packed low bits."""
     tables = Powers()
-    for batch in batches:
+    for batch in parts(batches):
         n, f1, f2, bands, sigs = [], [], [], [], []
         for s in text_sets(batch.column("text"), tables):
             n.append(len(s))
@@ -101,7 +101,7 @@ def _signatures(batches):
 
 def _sets(batches):
     tables = Powers()
-    for batch in batches:
+    for batch in parts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), _binary(list(text_sets(batch.column("text"), tables)))], ["id", "items"])
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.common import parts
 from xylem.llm.tokens import VOCABULARY, encoding
 
 KINDS = ("assign", "access", "hex", "random")
@@ -66,7 +67,7 @@ def joined(spans: list[Span]) -> str:
 def _scanned(vocabulary: str):
     def scanned(batches):
         encode = encoding(vocabulary).encode_ordinary
-        for batch in batches:
+        for batch in parts(batches):
             ids, found = batch.column("id"), []
             for text in batch.column("text").to_pylist():
                 named = base_spans(text := text or "")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.common import parts
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts text before the merges of the rank files (a fixed value of that vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,7 +28,7 @@ ROW_TOKENS = 2048
 GROUP_TOKENS, MATRIX_ROWS = 1 << 20, 64
 #: A text's bytes are about so many times its tokens; only the number of groups hangs on it.
 BYTES_PER_TOKEN = 2.6
-CACHE = 400_000
+CACHE = 200_000
 #: A blank between blanks (or at the end after one) is not where the pattern parts text.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -68,7 +70,7 @@ class Encoder(dict):
 def _encoded(path: str, groups: int):
     def encoded(batches):
         encoder, end = Encoder(path), np.array([END_ID], np.uint16).tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             ids = [encoder.encode(t) + end for t in (x or "" for x in batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grp"), pa.array(ids, pa.binary())], ["id", "grp", "ids"])
 

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.common import parts
+
 #: Labelled texts to learn from, at most so many of either class (about; by a hash of the id), and ordinary windows.
 TRAIN_TEXTS, TRAIN_WINDOWS = 3000, 60_000
 DICTIONARY_BYTES, LEVEL = 4096, 19
@@ -29,7 +31,7 @@ MOST_GAIN = 8
 #: A text is called toxic from this score on.
 THRESHOLD = 0.7
 #: Gains kept in a worker's memory.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scored(model: dict):
     def scored(batches):
         gains, weights = Gains(model["toxic"], model["ordinary"]), np.array(model["weights"])
-        for batch in batches:
+        for batch in parts(batches):
             x = np.array([features(t, gains) for t in batch.column("text").to_pylist()]).reshape(-1, len(weights))
             score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score)], ["id", "score"])
