@@ -137,23 +137,45 @@ def _found(words: np.ndarray, before: np.ndarray, index: dict, filters: dict):
     return [(r, i, *found) for (r, i), found in best.items()]
 
 
+def _hits(shared):
+    """A function of a string column: (row, item number, distance, first word, end word) of what its texts hold."""
+    table, powers = shared.value, Powers()
+    filters = {w: np.unpackbits(t[3]).astype(bool) for w, t in table["tables"].items()}
+
+    def hits(column: pa.Array) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        body, offsets = text_bytes(column)
+        for i, j in chunks(offsets):
+            words, _, before = word_hashes(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers)
+            out += [(i + r, *rest) for r, *rest in _found(words, before, table, filters)]
+        return out
+
+    return hits
+
+
 def _matched(shared):
     def matched(batches):
-        table, powers = shared.value, Powers()
-        filters = {w: np.unpackbits(t[3]).astype(bool) for w, t in table["tables"].items()}
+        hits, ids, items = _hits(shared), shared.value["ids"], shared.value["words"]
         for batch in parts(batches):
-            out = []
-            body, offsets = text_bytes(batch.column("text"))
-            ids = batch.column("id").to_pylist()
-            for i, j in chunks(offsets):
-                words, _, before = word_hashes(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers)
-                out += [(ids[i + r], table["ids"][k], len(table["words"][k]), d, a, b) for r, k, d, a, b in _found(words, before, table, filters)]
+            docs = batch.column("id").to_pylist()
+            out = [(docs[r], ids[k], len(items[k]), d, a, b) for r, k, d, a, b in hits(batch.column("text"))]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_words", "distance", "start_word", "end_word"])
 
     return matched
 
 
+def _clean(shared, at: int):
+    def clean(batches):
+        hits = _hits(shared)
+        for batch in parts(batches):
+            keep = np.ones(len(batch), bool)
+            keep[[r for r, *_ in hits(batch.column(at))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
+
+
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
     body, offsets = text_bytes(pa.array(texts, pa.string()))
     words, _, before = word_hashes(body, offsets, Powers())
@@ -167,20 +189,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     document. Items and documents that are null, empty or blank match nothing. Repeated rows are matched each. The
     benchmark is read in passes of PASS_WORDS words, each over all documents; only one pass's items are on the driver.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    passes = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * PASS_WORDS)))
     out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        shared = spark.sparkContext.broadcast(index(list(zip([r.item for r in part], item_words([r.text for r in part]), strict=True))))
+    for shared in _passes(benchmark, item_col, item_text):
         found = rows.mapInArrow(_matched(shared), "doc_id long, item_id long, n_words long, distance long, start_word long, end_word long")
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold an item; a document without an id stays."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("__bad"), "left_anti")
+def _passes(benchmark: DataFrame, item_col: str, item_text: str):
+    """The index of each pass, broadcast."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    passes = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * PASS_WORDS)))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).orderBy("item", "text").collect()
+        words = item_words([r.text for r in part])
+        yield benchmark.sparkSession.sparkContext.broadcast(index(list(zip([r.item for r in part], words, strict=True))))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without those that hold an item, by their text alone; rows are let through where they are read, without a shuffle."""
+    at = docs.columns.index(text_col)
+    for shared in _passes(benchmark, item_col, item_text):
+        docs = docs.mapInArrow(_clean(shared, at), docs.schema)
+    return docs

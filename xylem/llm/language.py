@@ -124,27 +124,44 @@ class Rows(dict):
         return self.table[at].sum(axis=0, dtype=np.float64)
 
 
+def predict(texts: list[str | None], langs: list[str], rows: Rows | None) -> tuple[list[str], list[float]]:
+    names, scores = [], []
+    for text in texts:
+        found = words(text) if langs else []
+        if not found:
+            names.append(UNKNOWN)
+            scores.append(0.0)
+            continue
+        total = rows.sums(found)
+        best = int(total.argmax())
+        names.append(langs[best])
+        scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
+    return names, scores
+
+
 def _predicted(shared):
     def predicted(batches):
-        model = shared.value
-        langs, rows = model["langs"], Rows(model) if model["langs"] else None
+        langs, rows = shared.value["langs"], Rows(shared.value) if shared.value["langs"] else None
         for batch in parts(batches):
-            names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text) if langs else []
-                if not found:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = rows.sums(found)
-                best = int(total.argmax())
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
+            names, scores = predict(batch.column("text").to_pylist(), langs, rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return predicted
 
 
+def in_known_language(docs: DataFrame, model: dict, least_score: float, text_col: str = "text") -> DataFrame:
+    """docs whose text is in one of the model's languages with such a score; rows are let through where they are read, without a shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def passed(batches):
+        langs, rows = shared.value["langs"], Rows(shared.value) if shared.value["langs"] else None
+        for batch in parts(batches):
+            names, scores = predict(batch.column(at).to_pylist(), langs, rows)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)
+
+
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score for each row of docs, by its whole text alone.
 
