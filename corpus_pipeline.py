@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from xylem.llm import contamination, language, minhash, mixing, tokens
 from xylem.llm.common import save
@@ -12,16 +11,9 @@ from xylem.llm.common import save
 LEAST_SHARE = 0.3
 
 
-def _in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id is in ids (a column __id)."""
-    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; a document without an id goes too."""
-    found = language.identify(docs, language.fit(docs))
-    good = found.where(f"lang_pred <> '{language.UNKNOWN}' and score >= {LEAST_SHARE}")
-    return _in(docs, good.select(F.col("doc_id").alias("__id")).distinct())
+    """Documents in a language that the labelled ones teach."""
+    return language.in_known_language(docs, language.fit(docs), LEAST_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
