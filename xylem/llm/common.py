@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -141,6 +144,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def lean(kernel):
+    """The kernel of a mapInArrow, whose memory goes back to the system when its task ends: idle workers count against their executor."""
+
+    def run(batches):
+        yield from kernel(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # a C library that has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def parts(batches):
     """The batches in slices, so that what a kernel makes of one does not grow with the batch."""
     for batch in batches:

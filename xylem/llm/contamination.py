@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Powers, chunks, mix64, parts, text_bytes, word_hashes
+from xylem.llm.common import Powers, chunks, lean, mix64, parts, text_bytes, word_hashes
 
 #: Walks, samples of each walk, places of a sample.
 WALKS, SAMPLES, PLACES = 5, 3, 5
@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
     for shared in _passes(benchmark, item_col, item_text):
-        found = rows.mapInArrow(_matched(shared), "doc_id long, item_id long, n_words long, distance long, start_word long, end_word long")
+        found = rows.mapInArrow(lean(_matched(shared)), "doc_id long, item_id long, n_words long, distance long, start_word long, end_word long")
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -211,5 +211,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """docs without those that hold an item, by their text alone; rows are let through where they are read, without a shuffle."""
     at = docs.columns.index(text_col)
     for shared in _passes(benchmark, item_col, item_text):
-        docs = docs.mapInArrow(_clean(shared, at), docs.schema)
+        docs = docs.mapInArrow(lean(_clean(shared, at)), docs.schema)
     return docs

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from xylem.llm.common import parts
+from xylem.llm.common import lean, parts
 
 #: Texts to learn from per language (about; chosen by a hash of the id), and what is kept of them.
 TRAIN_TEXTS, WORDS, GRAMS, LONGEST = 3000, 30_000, 8_000, 4
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Unseen words kept in a worker's memory.
-CACHE = 200_000
+CACHE = 100_000
 #: What a backoff costs: an n-gram tells less than a word.
 BACKOFF = 0.4
 
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return {"langs": [], "items": {}}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()])
     sample = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("language")), F.lit(1 << 40)) < share * float(1 << 40))
-    total = sample.select("lang", "text").mapInArrow(_counted, "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
+    total = sample.select("lang", "text").mapInArrow(lean(_counted), "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
     place = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.col("times").desc(), "item"))
     best = total.where("n > 0 or times > 1").withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
     items: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
@@ -159,7 +159,7 @@ def in_known_language(docs: DataFrame, model: dict, least_score: float, text_col
             names, scores = predict(batch.column(at).to_pylist(), langs, rows)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(passed, docs.schema)
+    return docs.mapInArrow(lean(passed), docs.schema)
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,5 +169,5 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     the first language in order. The model is bounded by WORDS and GRAMS per language and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predicted(shared), "id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_predicted(shared)), "id long, lang_pred string, score double")
     return rows.withColumnRenamed("id", id_col) if id_col != "id" else rows

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, group_starts, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
+from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, group_starts, lean, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -178,16 +178,16 @@ def _cross(pdf):
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_signatures), "id long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
 def confirm(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. texts: (id, text)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items binary"), "sets")
+    sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(lean(_sets), "id long, items binary"), "sets")
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_confirmed), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = entries.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     sig = reps.select("id", "sig")
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b")
-    pairs = scratch.save(pairs.select("a", "b", "s", "t").mapInArrow(_estimated, "a long, b long"), "pairs")
+    pairs = scratch.save(pairs.select("a", "b", "s", "t").mapInArrow(lean(_estimated), "a long, b long"), "pairs")
     links = scratch.save(confirm(texts, pairs, scratch), "confirmed")
     found = scratch.save(connected_components(links, scratch), "components")
 
@@ -226,12 +226,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_rows = scratch.save(placed.join(mixed, "key"), "open")
     near = blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("side").cast("long").alias("side"), "comp", "sig")
-    near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(_near, "a long, b long")
+    near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(lean(_near), "a long, b long")
     groups = connected_components(near, scratch)
     waiting = open_rows.select("id", "comp").distinct().join(groups.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp")
     waiting = scratch.save(waiting, "waiting")
     if not waiting.isEmpty():
-        sets = texts.join(waiting.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, items binary")
+        sets = texts.join(waiting.select("id").distinct(), "id", "left_semi").mapInArrow(lean(_sets), "id long, items binary")
         held = blocked(waiting.join(sig, "id").join(sets, "id"), ["grp"], BLOCK)
         more = held.groupBy("grp", "low", "high").applyInPandas(_cross, "a long, b long")
         links = links.select("a", "b").unionAll(more)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import parts
+from xylem.llm.common import lean, parts
 from xylem.llm.tokens import VOCABULARY, encoding
 
 KINDS = ("assign", "access", "hex", "random")
@@ -85,7 +85,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id_col and found, an array of (kind, start, end, secret) by start and kind, for each row of docs. A null text is empty and has none."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_scanned(vocabulary), f"id {kind}, found array<struct<kind:string,start:bigint,end:bigint,secret:string>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(_scanned(vocabulary)), f"id {kind}, found array<struct<kind:string,start:bigint,end:bigint,secret:string>>").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import parts
+from xylem.llm.common import lean, parts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts text before the merges of the rank files (a fixed value of that vocabulary).
@@ -28,7 +28,7 @@ ROW_TOKENS = 2048
 GROUP_TOKENS, MATRIX_ROWS = 1 << 20, 64
 #: A text's bytes are about so many times its tokens; only the number of groups hangs on it.
 BYTES_PER_TOKEN = 2.6
-CACHE = 200_000
+CACHE = 100_000
 #: A blank between blanks (or at the end after one) is not where the pattern parts text.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -180,7 +180,7 @@ def packed_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         groups = max(1, round(((size[0] or 0) / BYTES_PER_TOKEN + size[1]) / group_tokens))
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(text)), F.lit(groups)).alias("grp"), text.alias("text"))
-    return rows.mapInArrow(_encoded(vocabulary, groups), "id long, grp long, ids binary").groupBy("grp").applyInPandas(_packed(row_tokens, matrix_rows), MATRIX)
+    return rows.mapInArrow(lean(_encoded(vocabulary, groups)), "id long, grp long, ids binary").groupBy("grp").applyInPandas(_packed(row_tokens, matrix_rows), MATRIX)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

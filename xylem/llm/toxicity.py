@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import parts
+from xylem.llm.common import lean, parts
 
 #: Labelled texts to learn from, at most so many of either class (about; by a hash of the id), and ordinary windows.
 TRAIN_TEXTS, TRAIN_WINDOWS = 3000, 60_000
@@ -31,7 +31,7 @@ MOST_GAIN = 8
 #: A text is called toxic from this score on.
 THRESHOLD = 0.7
 #: Gains kept in a worker's memory.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -143,5 +143,5 @@ def _scored(model: dict):
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, score, predicted for each row of docs, by its whole text alone. A null or empty text is scored as one without windows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_scored(model), "id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_scored(model)), "id long, score double")
     return rows.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

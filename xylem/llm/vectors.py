@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Forest, Scratch, blocked, connected_components, group_starts, mix64, small_pairs, whole_groups
+from xylem.llm.common import Forest, Scratch, blocked, connected_components, group_starts, lean, mix64, small_pairs, whole_groups
 from xylem.llm.minhash import SALT
 
 LEAST_COSINE = 0.98
@@ -169,7 +169,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     scratch = Scratch()
-    rows = scratch.save(source.mapInArrow(_prepared, "id long, fp binary, raw binary, keys binary"), "vectors")
+    rows = scratch.save(source.mapInArrow(lean(_prepared), "id long, fp binary, raw binary, keys binary"), "vectors")
     known = rows.where("fp is not null")
     classes = known.groupBy("fp").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     salted = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -178,12 +178,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     reps = known.join(member.where("id <> class").select("id").distinct(), "id", "left_anti")
     sizes = member.groupBy(F.col("class").alias("id")).agg(F.max("copies").alias("copies"))
 
-    entries = reps.select("id", "keys").mapInArrow(_keys_of, "id long, key long")
+    entries = reps.select("id", "keys").mapInArrow(lean(_keys_of), "id long, key long")
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     entries = entries.join(shared, "key").join(reps.select("id", "raw", "keys"), "id").join(sizes, "id")
     blocks = blocked(entries, ["key"], BLOCK).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "id")
     blocks = blocks.select("key", "low", "high", F.col("side").cast("long").alias("side"), "id", F.col("copies").cast("long").alias("copies"), "raw", "keys")
-    met = scratch.save(blocks.mapInArrow(_linked, "id long, found long, root long"), "met")
+    met = scratch.save(blocks.mapInArrow(lean(_linked), "id long, found long, root long"), "met")
     counts = met.groupBy("id").agg(F.sum("found").alias("found"))
     parts = connected_components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
 
