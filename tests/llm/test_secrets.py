@@ -43,6 +43,24 @@ def test_random_strings_stand_out():
     assert secrets.random_spans(text, secrets.base_spans(text), encode) == []
 
 
+def test_runs_of_any_length_are_judged():
+    encode = secrets.encoding(secrets.VOCABULARY).encode_ordinary
+    rng = random.Random(6)
+    for k in (257, 300, 1600, 20_000):
+        blob = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=k))
+        (_, a, b), *more = secrets.random_spans(f"see {blob} there", [], encode)
+        assert not more and b - a >= k - 2
+    words = ["images", "summer", "catalog", "products", "archive", "network", "the-quick-brown-fox", "some_long_name"]
+    for n in (4, 40, 400):
+        path = "/".join(rng.choices(words, k=n))
+        assert secrets.random_spans(path, [], encode) == []
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=24))
+        key = f"{key[:8]}7x{key[8:16]}4Q{key[16:]}"
+        found = secrets.random_spans(f"{path}/{key}/{path}", [], encode)
+        assert any(a <= len(path) + 1 and b >= len(path) + 29 for _, a, b in found)
+        assert secrets.random_spans(f"{path}/{hashlib.sha1(b'x').hexdigest().upper()}/{path}/550e8400-e29b-41d4-a716-446655440000/{path}", [], encode) == []
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = secrets.find_secrets(odd_docs).collect()
     assert len(out) == 13 and not any(r.found for r in out) and secrets.find_secrets(no_docs).collect() == []

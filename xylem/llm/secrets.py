@@ -1,7 +1,8 @@
 """Secrets in texts: named patterns, and a token-efficiency test that finds random strings no pattern names.
 
-A run of 16 to 256 key characters that a byte-level BPE vocabulary needs many tokens for (few characters a token) is
-random rather than language. Runs that are known digests (32, 40, 56, 64, 96 or 128 hex digits), identifiers (UUIDs, numbers,
+A run of 16 or more key characters that a byte-level BPE vocabulary needs many tokens for (few characters a token) is
+random rather than language. A run that is not random as a whole, or too long to be judged so, is judged by its pieces
+between / + = _ - and by overlapping windows; hits that overlap are one span. Runs that are known digests (32, 40, 56, 64, 96 or 128 hex digits), identifiers (UUIDs, numbers,
 words joined by - or _ or /, dates, versions) or lack a digit or a change of case are let go; so is what overlaps a span of a named pattern.
 """
 
@@ -25,10 +26,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A run of fewer characters a token than this is random. Language has above 3, base64 and hex noise below 2.
 CHARS_PER_TOKEN = 2.2
-LONGEST_RUN = 256
+#: Characters of a run that is judged as a whole at most; of a window of a longer run, and from one window to the next.
+WHOLE, WINDOW, STEP = 256, 64, 32
+PIECE = re.compile(r"[A-Za-z0-9]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+|[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)*[0-9]{0,4}", re.IGNORECASE)
 
+#: What a window may hold a part of without being random.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGEST.pattern}|[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})(?![A-Za-z0-9])", re.IGNORECASE)
+
 Span = tuple[str, int, int]
 
 
@@ -43,20 +49,45 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def is_random(run: str, encode) -> bool:
+    if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        return False
+    if not any(map(str.isdigit, run)) and run[1:].islower():
+        return False
+    return len(run) < CHARS_PER_TOKEN * len(encode(run))
+
+
+def parts_of(run: str) -> list[tuple[int, int]]:
+    """Where a run is judged when it isn't judged as a whole: its pieces, and windows that leave out no character."""
+    out = [m.span() for m in PIECE.finditer(run) if len(m.group()) <= WHOLE]
+    if len(run) > WINDOW:
+        known = [m.span() for m in KNOWN.finditer(run)]
+        starts = [*range(0, len(run) - WINDOW, STEP), len(run) - WINDOW]
+        out += [(i, i + WINDOW) for i in starts if not any(a < i + WINDOW and i < b for a, b in known)]
+    return sorted(out)
+
+
 def random_spans(text: str, named: list[Span], encode) -> list[Span]:
     out = []
     for m in RUN.finditer(text):
         run = m.group().strip("=/+-_")
-        if not 16 <= len(run) <= LONGEST_RUN or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            continue
-        if not any(map(str.isdigit, run)) and run[1:].islower():
+        if len(run) < 16 or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
             continue
         start = m.start() + m.group().index(run)
         end = start + len(run)
-        if any(a < end and start < b for _, a, b in named):
-            continue
-        if len(run) < CHARS_PER_TOKEN * len(encode(run)):
+        near = [(a, b) for _, a, b in named if a < end and start < b]
+        if not near and len(run) <= WHOLE and is_random(run, encode):
             out.append(("random", start, end))
+            continue
+        last = start
+        for a, b in parts_of(run):
+            a, b = a + start, b + start
+            if any(x < b and a < y for x, y in near) or not is_random(text[a:b], encode):
+                continue
+            if out and a < last:
+                out[-1] = ("random", out[-1][1], last := max(last, b))
+            else:
+                out.append(("random", a, last := b))
     return out
 
 
