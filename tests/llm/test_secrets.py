@@ -61,6 +61,18 @@ def test_runs_of_any_length_are_judged():
         assert secrets.random_spans(f"{path}/{hashlib.sha1(b'x').hexdigest().upper()}/{path}/550e8400-e29b-41d4-a716-446655440000/{path}", [], encode) == []
 
 
+def test_random_letters_stand_out():
+    encode = secrets.encoding(secrets.VOCABULARY).encode_ordinary
+    rng = random.Random(8)
+    found = lambda x: secrets.random_spans(f"see {x} there", [], encode)
+    assert found("kJhGfDsQwErTyUiOpLkMnB") == [("random", 4, 26)]
+    for alphabet in (string.ascii_letters, string.ascii_letters + string.digits):
+        for k in (16, 20, 24, 32):
+            assert sum(bool(found("".join(rng.choices(alphabet, k=k)))) for _ in range(300)) >= 297
+    calm = ["getElementsByTagNameNS", "MAX_RETRY_COUNT_LIMIT", "INTERNATIONALIZATION", "src/main/java/com/foo/Bar", "XMLHttpRequestEventTarget", "user_profile_settings_2024", "Donaudampfschifffahrtsgesellschaft"]
+    assert [x for x in calm if found(x)] == []
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = secrets.find_secrets(odd_docs).collect()
     assert len(out) == 13 and not any(r.found for r in out) and secrets.find_secrets(no_docs).collect() == []

@@ -3,7 +3,7 @@
 A run of 16 or more key characters that a byte-level BPE vocabulary needs many tokens for (few characters a token) is
 random rather than language. A run that is not random as a whole, or too long to be judged so, is judged by its pieces
 between / + = _ - and by overlapping windows; hits that overlap are one span. Runs that are known digests (32, 40, 56, 64, 96 or 128 hex digits), identifiers (UUIDs, numbers,
-words joined by - or _ or /, dates, versions) or lack a digit or a change of case are let go; so is what overlaps a span of a named pattern.
+dates, words of one case or of few tokens joined by - or _ or /, with up to four digits) or lack a digit or a change of case are let go; so is what overlaps a span of a named pattern.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ CHARS_PER_TOKEN = 2.2
 WHOLE, WINDOW, STEP = 256, 64, 32
 PIECE = re.compile(r"[A-Za-z0-9]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
-IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+|[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)*[0-9]{0,4}", re.IGNORECASE)
+IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+", re.IGNORECASE)
+#: Letters with joiners, and up to four digits at the end; a part of these that is plainly one word.
+LETTERS, JOINER, ONE_CASE = re.compile(r"([A-Za-z_/=+-]*)[0-9]{0,4}"), re.compile(r"[-_/=+]+"), re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]*)")
 
 #: What a window may hold a part of without being random.
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGEST.pattern}|[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})(?![A-Za-z0-9])", re.IGNORECASE)
@@ -49,12 +51,19 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def is_words(run: str, encode) -> bool:
+    """Words, joined or in camel case: each part is short and of one case, or has as few tokens as language."""
+    if not (m := LETTERS.fullmatch(run)):
+        return False
+    return all(len(x) < 16 and ONE_CASE.fullmatch(x) or len(x) >= CHARS_PER_TOKEN * len(encode(x)) for x in JOINER.split(m[1]))
+
+
 def is_random(run: str, encode) -> bool:
     if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return False
     if not any(map(str.isdigit, run)) and run[1:].islower():
         return False
-    return len(run) < CHARS_PER_TOKEN * len(encode(run))
+    return len(run) < CHARS_PER_TOKEN * len(encode(run)) and not is_words(run, encode)
 
 
 def parts_of(run: str) -> list[tuple[int, int]]:
