@@ -70,6 +70,20 @@ def test_chances_are_fair(spark):
     assert all(abs(sum(v) / len(v) - 0.5) < 0.13 for size, v in got.items() if size > 1) and len(got) == 10
 
 
+def test_null_and_repeated_ids_keep_what_was_drawn(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"w{i} " + "w " * (i % 7), "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn, taken, words = Counter(), Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        drawn[r.doc_id] += r.copies
+        words[r.source] = r.target
+    out = mixing.mixed(df).collect()
+    assert Counter(r.doc_id for r in out) == +drawn and drawn[None] > 0
+    for r in out:
+        taken[r.source] += len(WORD.findall(r.text))
+    assert all(abs(taken[s] - words[s]) <= 7 / 2 + 1 for s in words) and max(Counter(r.text for r in out).values()) <= 3
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = rows_of(odd_docs)
     assert len(out) == odd_docs.count() and rows_of(no_docs) == []

@@ -25,7 +25,7 @@ BLOCK = 128
 SEED = 11
 
 UNIT = "struct<s:bigint,d:bigint,u:bigint,m:double>"
-DONE = "array<struct<d:bigint,s:bigint,take:int>>"
+DONE = "array<struct<d:bigint,s:bigint,u:bigint,take:int>>"
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +58,7 @@ def _rounded(units: Column) -> Column:
         return F.struct(x["s"].alias("s"), x["d"].alias("d"), x["u"].alias("u"), m.alias("m"))
 
     def done(x: Column, take: int) -> Column:
-        return F.struct(x["d"].alias("d"), x["s"].alias("s"), F.lit(take).alias("take"))
+        return F.struct(x["d"].alias("d"), x["s"].alias("s"), x["u"].alias("u"), F.lit(take).alias("take"))
 
     def step(acc: Column, x: Column) -> Column:
         c = acc["c"]
@@ -81,37 +81,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the whole part of the copies. A null source is a source of its own. Repeated rows are drawn one by one. Draws hang
     on the ids and sizes alone, so reruns agree. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("s"))
+    return _drawn(docs.withColumn("__row", F.monotonically_increasing_id()), id_col, text_col, source_col, total_share).drop("__row")
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, total_share: float) -> DataFrame:
+    """What mix returns, with __row, the key of the row of docs that it belongs to."""
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("s"), F.col("__row").alias("u"))
     rows = save(rows, "sizes")
     sizes = save(targets(rows.groupBy("source").agg(F.sum("s").alias("source_size"), F.count("*").alias("n")), total_share), "targets")
     most = sizes.agg(F.max("n")).first()[0] or 0
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(0.0))
     sizes = sizes.withColumn("base", F.least(F.floor(share), F.lit(MOST_COPIES))).withColumn("fraction", share - F.col("base"))
 
-    # u parts rows that are alike in everything else; nothing that is returned hangs on it.
-    plain = rows.join(sizes, rows["source"].eqNullSafe(sizes["source"])).select("d", rows["source"], "s", "fraction", "n")
+    # u parts rows that are alike in everything else; only which of them is taken hangs on it.
+    plain = rows.join(sizes, rows["source"].eqNullSafe(sizes["source"])).select("d", rows["source"], "s", "u", "fraction", "n")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
-    here = plain.where("s > 0").select("source", F.struct("s", "d", F.monotonically_increasing_id().alias("u"), (F.col("s") * F.col("fraction")).alias("m")).alias("x"), blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(SEED), "d", "s"), blocks).alias("block"))
-    decided = plain.where("s = 0").select("source", "d", "s", F.lit(0).alias("take"))
+    here = plain.where("s > 0").select("source", F.struct("s", "d", "u", (F.col("s") * F.col("fraction")).alias("m")).alias("x"), blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(SEED), "d", "s"), blocks).alias("block"))
+    decided = plain.where("s = 0").select("source", "d", "s", "u", F.lit(0).alias("take"))
     level = 0
     while True:
         listed = here.groupBy("source", "block").agg(F.max("blocks").alias("blocks"), F.sort_array(F.collect_list("x"), asc=False).alias("units"))
         folded = save(listed.select("source", "block", "blocks", _rounded(F.col("units")).alias("r")), "rounded")
-        decided = decided.unionAll(folded.select("source", F.explode("r.out").alias("o")).select("source", "o.d", "o.s", "o.take"))
+        decided = decided.unionAll(folded.select("source", F.explode("r.out").alias("o")).select("source", "o.d", "o.s", "o.u", "o.take"))
         level += 1
         if most <= BLOCK**level:
             break
         above = F.greatest(F.ceil(F.col("blocks") / BLOCK), F.lit(1))
         here = folded.select("source", F.col("r.c").alias("x"), above.alias("blocks"), F.pmod(F.col("block"), above).alias("block"))
-    decided = decided.unionAll(folded.select("source", F.col("r.c.d").alias("d"), F.col("r.c.s").alias("s"), (F.col("r.c.m") * 2 >= F.col("r.c.s")).cast("int").alias("take")))
+    decided = decided.unionAll(folded.select("source", F.col("r.c.d").alias("d"), F.col("r.c.s").alias("s"), F.col("r.c.u").alias("u"), (F.col("r.c.m") * 2 >= F.col("r.c.s")).cast("int").alias("take")))
     per = sizes.select(F.col("source").alias("of"), "source_size", "target", "base")
     out = decided.join(per, F.col("source").eqNullSafe(F.col("of")))
     copies = F.least(F.col("base") + F.col("take"), F.lit(MOST_COPIES)).cast("long")
-    return out.select(F.col("d").alias(id_col), F.col("s").alias("size"), "source_size", "target", (F.col("s") * copies).alias("taken"), copies.alias("copies"), "source")
+    return out.select(F.col("d").alias(id_col), F.col("s").alias("size"), "source_size", "target", (F.col("s") * copies).alias("taken"), copies.alias("copies"), "source", F.col("u").alias("__row"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0) -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows that share an id get the most copies among them; without an id, none."""
-    copies = mix(docs, id_col, text_col, source_col, total_share).where("copies > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    out = docs.join(copies, docs[id_col].cast("long") == F.col("__id"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it, whatever its id. The rows are written once, with a key of their own."""
+    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "mix_rows")
+    copies = _drawn(rows, id_col, text_col, source_col, total_share).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
