@@ -1,8 +1,11 @@
 """The stages one by one against plain Python, on whole tables, and run() against the stages."""
 
+import random
+import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_contamination import distance
@@ -43,6 +46,19 @@ def test_language_keeps_clean_documents(stages):
     assert {d for d, t in pairs(before) if not any(map(str.isalpha, t or ""))}.isdisjoint(kept) and all(len(t or "") < 100 for t in lost)
 
 
+@pytest.mark.parametrize("taught", [("de", "es", "fr"), ("en", "es", "fr"), ("en",)])
+def test_untaught_languages_and_junk_are_rejected(spark, taught):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 100")
+    rng = random.Random(5)
+    junk = [(10**6 + i, " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 10))) for _ in range(60))) for i in range(50)]
+    noise = spark.createDataFrame(junk, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'x' source", "cast(length(text) as long) n_chars")
+    given = docs.withColumn("lang", F.when(F.col("lang").isin(*taught), F.col("lang"))).unionByName(noise.select(*docs.columns))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, given, "").select("doc_id").collect()}
+    rows = docs.select("doc_id", "lang").collect()
+    own, other = ({r.doc_id for r in rows if (r.lang in taught) == x} for x in (True, False))
+    assert len(own & kept) >= 0.97 * len(own) and len(other & kept) <= 0.05 * len(other) and max(kept) < 10**6
+
+
 def test_near_duplicates_leave_one_of_each_group(stages):
     _, before, after = stages[1]
     root = brute(pairs(before))

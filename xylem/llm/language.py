@@ -27,6 +27,8 @@ UNKNOWN = "und"
 CACHE = 100_000
 #: What a backoff costs: an n-gram tells less than a word.
 BACKOFF = 0.4
+#: Letters that a text is granted as known: too few say nothing about its language.
+GRANTED = 8
 
 
 def words(text: str | None) -> list[str]:
@@ -59,12 +61,14 @@ def _counted(batches):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_TEXTS) -> dict:
-    """{langs, items: {n: (items, float32 log frequencies, one row per item)}}. Rows without a language or text teach nothing; an empty table gives no languages."""
+    """{langs, items: {n: (items, float32 log frequencies, one row per item)}, floor, cover}.
+
+    floor is the log frequency of a word that a language lacks; cover, the share of a language's letters that is in its kept words. Rows without a language or text teach nothing; an empty table gives no languages."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return {"langs": [], "items": {}}
+        return {"langs": [], "items": {}, "floor": [], "cover": []}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()])
     sample = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("language")), F.lit(1 << 40)) < share * float(1 << 40))
     total = sample.select("lang", "text").mapInArrow(lean(_counted), "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
@@ -73,12 +77,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     items: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
     for r in best.select("lang", "n", "item", "times").toLocalIterator(prefetchPartitions=True):
         items[r.n].setdefault(r.item, np.zeros(len(langs), np.float32))[langs.index(r.lang)] = r.times
-    model = {}
+    model, floor, known, letters = {}, [], 0, 0
     for n, found in items.items():
         names = sorted(found)
         k = np.array([found[x] for x in names], np.float64).reshape(len(names), len(langs))
         model[n] = names, np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * (len(names) + 1))).astype(np.float32)
-    return {"langs": langs, "items": model}
+        if n == 0:
+            floor, known = np.log(0.5 / (k.sum(axis=0) + 0.5 * (len(names) + 1))), np.array([len(x) for x in names], np.float64) @ k
+        elif n == 1:
+            letters = k[[x not in "<>" for x in names]].sum(axis=0)
+    return {"langs": langs, "items": model, "floor": floor, "cover": known / np.maximum(letters, 1)}
 
 
 class Rows(dict):
@@ -91,6 +99,8 @@ class Rows(dict):
         self.grams = [dict(zip(names, (tuple(map(float, x)) for x in logs), strict=True)) for names, logs in (model["items"][n] for n in range(1, LONGEST + 1))]
         self.table = np.concatenate([known, np.zeros((CACHE, known.shape[1]), np.float32)])
         self.used = self.first = len(names)
+        #: Letters of each known word, in the languages that have it.
+        self.letters = (known > model["floor"] + 0.5) * np.array([len(x) for x in names], np.float32).reshape(-1, 1)
 
     def __missing__(self, word: str) -> int:
         if self.used == len(self.table):
@@ -112,8 +122,15 @@ class Rows(dict):
                 i += 1
         return total
 
-    def sums(self, text_words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, text_words), np.int64, len(text_words))
+    def places(self, text_words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, text_words), np.int64, len(text_words))
+
+    def known_share(self, text_words: list[str], at: np.ndarray, lang: int) -> float:
+        """Share of the letters that is in words the language is known to have."""
+        return float(self.letters[at[(at >= 0) & (at < self.first)], lang].sum(dtype=np.float64) + GRANTED) / (sum(map(len, text_words)) + GRANTED)
+
+    def sums(self, text_words: list[str], at: np.ndarray | None = None) -> np.ndarray:
+        at = self.places(text_words) if at is None else at
         if (at < 0).any():  # full: what the text has beyond the table is added one by one
             total = self.table[at[at >= 0]].sum(axis=0, dtype=np.float64)
             total += np.sum([self.cover(w) for w, k in zip(text_words, at, strict=True) if k < 0], axis=0)
@@ -149,15 +166,31 @@ def _predicted(shared):
     return predicted
 
 
-def in_known_language(docs: DataFrame, model: dict, least_score: float, text_col: str = "text") -> DataFrame:
-    """docs whose text is in one of the model's languages with such a score; rows are let through where they are read, without a shuffle."""
+def in_known_language(docs: DataFrame, model: dict, least_score: float, least_known: float, text_col: str = "text") -> DataFrame:
+    """docs whose text is in one of the model's languages; rows are let through where they are read, without a shuffle.
+
+    The likeliest language must have such a score, which only parts the taught languages from each other, and the share of
+    the text's letters that is in words of that language must be least_known of what it is in the texts that taught it.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def passed(batches):
-        langs, rows = shared.value["langs"], Rows(shared.value) if shared.value["langs"] else None
+        model = shared.value
+        rows = Rows(model) if model["langs"] else None
+
+        def passes(text: str | None) -> bool:
+            found = words(text) if rows else []
+            if not found:
+                return False
+            places = rows.places(found)
+            total = rows.sums(found, places)
+            best = int(total.argmax())
+            if 1 / np.exp(np.clip(total - total[best], -700, 0)).sum() < least_score:
+                return False
+            return rows.known_share(found, places, best) >= least_known * model["cover"][best]
+
         for batch in parts(batches):
-            names, scores = predict(batch.column(at).to_pylist(), langs, rows)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([passes(text) for text in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(lean(passed), docs.schema)
 
