@@ -170,3 +170,13 @@ def test_overlay(spark):
     assert out["b"].status.startswith("WARNING") and out["a"].status == "SUCCESS"
     drawn = I.decode_png(bytes(out["a"].content))
     assert drawn[10, 30].tolist() == [0, 255, 0] and drawn[100, 100].tolist() == [90] * 3
+
+
+def test_registered_slices_have_every_resolution(spark):
+    from collections import Counter
+
+    from xylem.plans.queries import QUERIES
+
+    rows = QUERIES["image_slices"](spark, "/root/testdata/sf0.001").collect()
+    per_image = Counter(r.image for r in rows)
+    assert per_image and set(per_image.values()) == {462} and {r.n_slices for r in rows} == set(range(3, 31))

@@ -348,7 +348,7 @@ def kmeans_rings(spark: SparkSession, d: str) -> DataFrame:
 def image_slices(spark: SparkSession, d: str) -> DataFrame:
     from xylem.plans.pipeline import slice_images
 
-    return slice_images(_pictures(spark, d), 3, 8).select("image", "n_slices", "slice_no", "key", "x0", "y0", "w", "h", "status")
+    return slice_images(_pictures(spark, d)).select("image", "n_slices", "slice_no", "key", "x0", "y0", "w", "h", "status")
 
 
 @query
