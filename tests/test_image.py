@@ -101,3 +101,22 @@ def test_smooth_and_median():
     assert np.allclose(I.smooth(v, 2.5), np.convolve(padded, w / w.sum(), "valid"))
     assert np.allclose(I.smooth(np.ones(4), 2.5), 1)
     assert (I.median_rows(np.repeat([[3.0]], 9, axis=0)) == 3).all()
+
+
+def test_largest_filled_measures_every_part():
+    mask = np.zeros((100, 200), bool)
+    mask[10:51, 10:51] = True
+    mask[11:50, 11:50] = False  # a thin ring of 160 pixels around 41 x 41
+    for i in range(10):
+        mask[60 + 20 * (i // 5) : 74 + 20 * (i // 5), 20 * (i % 5) : 20 * (i % 5) + 14] = True  # ten blobs of 196
+    filled = I.largest_filled(mask)
+    assert filled.sum() == 41 * 41 and filled[10:51, 10:51].all()
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mask = rng.random((24, 30)) < 0.45
+        labels, n = I.components(mask, True)
+        sizes = []
+        for k in range(1, n + 1):
+            outside, _ = I.components(np.pad(labels != k, 1, constant_values=True), False)
+            sizes.append(int((outside != outside[0, 0]).sum()))
+        assert I.largest_filled(mask).sum() == max(sizes)

@@ -180,13 +180,24 @@ def components(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:
 def largest_filled(mask: np.ndarray) -> np.ndarray:
     """The largest connected part with its holes filled (size counts the holes); an empty mask as it is."""
     labels, n = components(mask, True)
-    best = mask
-    size = -1
-    for k in np.argsort(-np.bincount(labels.ravel(), minlength=n + 1)[1:])[:8] + 1:
-        outside, _ = components(np.pad(labels != k, 1, constant_values=True), False)
+    best, size = mask, -1
+    if not n:
+        return best
+    y, x = np.nonzero(labels)
+    k = labels[y, x] - 1
+    low, high = np.full((2, n), max(mask.shape)), np.zeros((2, n), np.int64)
+    for i, at in enumerate((y, x)):
+        np.minimum.at(low[i], k, at)
+        np.maximum.at(high[i], k, at + 1)
+    for k in np.argsort(-np.bincount(k, minlength=n)):
+        if (high[:, k] - low[:, k]).prod() <= size:  # even its whole box would not be larger
+            continue
+        box = slice(low[0, k], high[0, k]), slice(low[1, k], high[1, k])
+        outside, _ = components(np.pad(labels[box] != k + 1, 1, constant_values=True), False)
         filled = (outside != outside[0, 0])[1:-1, 1:-1]
         if filled.sum() > size:
-            best, size = filled, int(filled.sum())
+            best, size = np.zeros(mask.shape, bool), int(filled.sum())
+            best[box] = filled
     return best
 
 
