@@ -14,13 +14,31 @@ def plain():
 TEXTS = ["", " ", "  ", "a", " a", "a ", "a b", "a  b", "a   b", "a \nb", "a\n b", "a\n \nb", "a\n ", "\n", "it's 'twas  I'd", "x  y", "a\t b \t c", "é ü ß 你好 世界", "1 22 333 !!  ??", "a\x1c b \x85 c"]
 
 
-def test_words_encode_as_whole_texts(plain):
+def check_encoding(encoder, plain, texts):
+    import pyarrow as pa
+
+    ids, begin = encoder.encode(pa.array(texts, pa.string()))
+    assert len(begin) == len(texts) + 1
+    for text, a, b in zip(texts, begin, begin[1:]):
+        assert ids[a:b].tolist() == plain.encode_ordinary(text or "") + [tokens.END_ID], repr(text)
+
+
+def test_segments_encode_as_whole_texts(plain):
     rng = random.Random(4)
     encoder = tokens.Encoder()
-    alphabet = ["a", "the", " ", " ", "\n", "\t", "é", "9", "'s", ".", " ", " ", "Zq"]
-    for text in TEXTS + ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)]:
-        ids = encoder.encode(text)
-        assert [int.from_bytes(ids[i : i + 2], "little") for i in range(0, len(ids), 2)] == plain.encode_ordinary(text), repr(text)
+    alphabet = ["a", "the", " ", " ", "\n", "\t", "é", "9", "'s", ".", "\u00a0", "\u3000", "\u2003", "\u0085", "\u1680", "“", "\x1c", "\r", "你", "Zq", "🙂"]
+    check_encoding(encoder, plain, TEXTS + [None] + ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(6000)])
+    check_encoding(encoder, plain, [])
+    check_encoding(encoder, plain, ["", None])
+    check_encoding(encoder, plain, ["x" * 5000 + " " * 300 + "\n" * 300 + "y" * 5000])
+
+
+def test_a_full_cache_is_made_anew(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    rng, encoder = random.Random(1), tokens.Encoder()
+    for _ in range(20):
+        check_encoding(encoder, plain, [" ".join(f"w{rng.randrange(1000)}" for _ in range(30)) for _ in range(5)])
+    assert len(encoder.known) <= 50 + 150
 
 
 def brute_pack(lengths, capacity):
@@ -86,3 +104,12 @@ def test_odd_rows(spark, odd_docs, no_docs, plain, tmp_path):
     docs = [d for r in read for d, at, _ in tokens.unpack(r) if at == 0]
     assert docs.count(7) == 2 and len(docs) == 13
     check_round_trip(tokens.packed_tokens(odd_docs.where("doc_id is null or doc_id <> 7")).collect(), once, plain, tokens.ROW_TOKENS)
+
+
+def test_a_hot_row_and_a_long_text_are_spread(spark):
+    row = spark.range(3000).selectExpr("cast(null as long) doc_id", "repeat('one two three ', 5) text")
+    sizes = [r["n"] for r in tokens.packed_tokens(row, row_tokens=64, group_tokens=2000).groupBy("pack_group").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()]
+    assert len(sizes) > 10 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    long = spark.createDataFrame([(1, "alpha beta gamma " * 30_000)], "doc_id long, text string")
+    sizes = [r["n"] for r in tokens.packed_tokens(long, row_tokens=64, group_tokens=2000).groupBy("pack_group").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()]
+    assert len(sizes) > 10 and max(sizes) < 3 * sum(sizes) / len(sizes)

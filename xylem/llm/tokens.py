@@ -1,22 +1,20 @@
 """Token ids of texts, packed into rows of fixed length by best-fit decreasing, as little-endian binary.
 
 Texts are encoded by a byte-level BPE vocabulary (a tiktoken rank file). Each text's ids, with an end mark, are cut
-into pieces of a row's length without loss. Pieces go to packing groups by a hash of the document, so that a group has
-a bounded number of tokens whatever the sources look like; in a group they are placed longest first, each into the
+into pieces of a row's length without loss. Pieces go to packing groups by a hash, so that a group has
+a bounded number of tokens whatever the texts look like; in a group they are placed longest first, each into the
 fullest row that still has room, which a segment tree over the free lengths finds in logarithmic time. A group's rows
 leave as matrices of ids, cumulative segment lengths and positions that begin anew with each segment.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import lean, parts
+from xylem.llm.common import chunks, lean, parts, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts text before the merges of the rank files (a fixed value of that vocabulary).
@@ -28,9 +26,8 @@ ROW_TOKENS = 2048
 GROUP_TOKENS, MATRIX_ROWS = 1 << 20, 64
 #: A text's bytes are about so many times its tokens; only the number of groups hangs on it.
 BYTES_PER_TOKEN = 2.6
+#: Distinct segments kept in a worker's memory; when there are more, they are made anew.
 CACHE = 100_000
-#: A blank between blanks (or at the end after one) is not where the pattern parts text.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
 def encoding(path: str = VOCABULARY):
@@ -43,36 +40,89 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("xylem", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Encoder(dict):
-    """Ids of texts. The pattern never joins what a single blank parts, so words are looked up with their blank."""
+def cuts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the bytes of texts may be parted without changing their ids, each text's begin and end included, in order.
 
-    def __init__(self, path: str = VOCABULARY) -> None:
-        super().__init__()
-        self.encode_word = encoding(path).encode_ordinary
+    The pattern gives the last blank of a run to the word after it, and any other single space there is a piece of its
+    own. So a text may be parted before such a blank, and on both sides of another ASCII space, if what follows is
+    surely no space: ASCII, or a first byte that begins no space beyond ASCII.
+    """
+    if not len(body):
+        return np.unique(offsets)
+    kind = BYTE_KIND[body]
+    kind[offsets[1:][offsets[1:] > 0] - 1] &= 4  # nothing of its own text follows a text's last byte
+    space = np.flatnonzero(kind[:-1] & 3)
+    space = space[(kind[space + 1] & 4) != 0]
+    return np.unique(np.concatenate([offsets, space, space[(kind[space] & 2) != 0] + 1]))
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[word] = np.array(self.encode_word(word), np.uint16).tobytes()
-        return ids
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian uint16 ids of the text."""
-        if not text:
-            return b""
-        if UNSAFE.search(text):
-            return np.array(self.encode_word(text), np.uint16).tobytes()
-        first, *rest = text.split(" ")
-        head = self[first] if first else b""
-        return head + b"".join([self[w] for w in map(" ".__add__, rest)])
+#: Of each byte: 1 a blank, 2 another space of ASCII, 4 surely no space. C2, E1, E2 and E3 begin spaces beyond ASCII.
+BYTE_KIND = np.full(256, 4, np.uint8)
+BYTE_KIND[[*range(9, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = 0
+BYTE_KIND[range(9, 14)] = 2
+BYTE_KIND[32] = 1
 
 
-def _encoded(path: str, groups: int):
+class Encoder:
+    """Ids of many texts at once: they are parted in short segments, equal ones are encoded once, and ids are put together by numpy."""
+
+    def __init__(self, path: str = VOCABULARY) -> None:
+        self.encode_word = encoding(path).encode_ordinary
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.lengths, self.used = np.zeros(1 << 16, np.uint16), [], [], 0
+
+    def learn(self, segment: bytes) -> int:
+        ids = np.array(self.encode_word(segment.decode()), np.uint16)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts.append(self.used)
+        self.lengths.append(len(ids))
+        self.used += len(ids)
+        place = self.known[segment] = len(self.known)
+        return place
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Little-endian uint16 ids of all texts, END_ID after each, and where each text's begin (one more entry: the end). A null is empty."""
+        body, offsets = text_bytes(column)
+        if len(self.known) >= CACHE:
+            self.forget()
+        at = cuts(body, offsets)
+        segments = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
+        known, learn = self.known, self.learn
+        place = np.fromiter((known[x] if x in known else learn(x) for x in segments.dictionary.to_pylist()), np.int64, len(segments.dictionary))
+        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
+        place = place[segments.indices.to_numpy(zero_copy_only=False)]
+        n, first = lengths[place], np.searchsorted(at, offsets)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        begin = ends[first] + np.arange(len(offsets))
+        out = np.full(int(begin[-1]), END_ID, "<u2")
+        if len(place):
+            text = np.searchsorted(offsets, at[:-1], "right") - 1
+            inside = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+            out[inside + np.repeat(ends[:-1] + text, n)] = self.ids[inside + np.repeat(starts[place], n)]
+        return out, begin
+
+
+def _encoded(path: str, capacity: int):
+    """(id, text) -> (id, start, ids): a text's ids in pieces of at most `capacity`, each with its place."""
+
     def encoded(batches):
-        encoder, end = Encoder(path), np.array([END_ID], np.uint16).tobytes()
+        encoder = Encoder(path)
         for batch in parts(batches):
-            ids = [encoder.encode(t) + end for t in (x or "" for x in batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grp"), pa.array(ids, pa.binary())], ["id", "grp", "ids"])
+            text, ids = batch.column("text"), batch.column("id")
+            _, offsets = text_bytes(text)
+            for i, j in chunks(offsets):
+                body, begin = encoder.encode(text.slice(i, j - i))
+                pieces = -(-np.diff(begin) // capacity)
+                row = np.repeat(np.arange(j - i), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                bounds = np.append(begin[row] + start, begin[-1])
+                held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i)), pa.array(start), held], ["id", "start", "ids"])
 
     return encoded
 
@@ -131,13 +181,9 @@ def _packed(capacity: int, matrix_rows: int):
     def packed(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["id", "ids"], na_position="first")
-        pieces, of = [], []
-        for doc, raw in zip(pdf["id"], pdf["ids"], strict=True):
-            ids = np.frombuffer(raw, np.uint16)
-            for k in range(0, len(ids), capacity):
-                pieces.append(ids[k : k + capacity])
-                of.append((None if doc is None or doc != doc else int(doc), k))
+        pdf = pdf.sort_values(["id", "start", "ids"], na_position="first")
+        pieces = [np.frombuffer(raw, "<u2") for raw in pdf["ids"]]
+        of = [(None if doc is None or doc != doc else int(doc), int(k)) for doc, k in zip(pdf["id"], pdf["start"], strict=True)]
         rows, out = pack([len(p) for p in pieces], capacity), []
         for at in range(0, len(rows), matrix_rows):
             part = rows[at : at + matrix_rows]
@@ -170,17 +216,20 @@ MATRIX = "pack_group long, matrix long, n_rows long, n_tokens long, ids binary,
 def packed_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, row_tokens: int = ROW_TOKENS, group_tokens: int = GROUP_TOKENS, matrix_rows: int = MATRIX_ROWS, groups: int | None = None) -> DataFrame:
     """The matrices of all texts of docs (see MATRIX).
 
-    A null or empty text is an end mark alone; a null id stays null. Repeated rows are packed each. A group holds
-    about group_tokens whatever the keys, but one text is never parted among groups. Their number comes from a pass over
-    the texts' lengths, or from the caller, who saves that pass. The vocabulary file must be at the same path on every
-    executor. Other columns are neither read nor returned.
+    A null or empty text is an end mark alone; a null id stays null. Repeated rows and ties are packed each. Texts of any
+    length are cut in pieces of row_tokens, and pieces are dealt to groups by a hash of id, place and row, so a group
+    holds about group_tokens whatever the keys, sizes or repeats; a text's pieces carry its id and their places. The
+    number of groups comes from a pass over the texts' lengths, or from the caller, who saves that pass. An empty table
+    gives an empty result. Other columns are neither read nor returned, so their names don't matter. Ids must be numbers
+    or texts of numbers. The vocabulary file must be at the same path on every executor; its ids fit in 16 bits.
     """
     if groups is None:
         size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
         groups = max(1, round(((size[0] or 0) / BYTES_PER_TOKEN + size[1]) / group_tokens))
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(text)), F.lit(groups)).alias("grp"), text.alias("text"))
-    return rows.mapInArrow(lean(_encoded(vocabulary, groups)), "id long, grp long, ids binary").groupBy("grp").applyInPandas(_packed(row_tokens, matrix_rows), MATRIX)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    pieces = rows.mapInArrow(lean(_encoded(vocabulary, row_tokens)), "id long, start long, ids binary")
+    grp = F.pmod(F.xxhash64("id", "start", F.monotonically_increasing_id()), F.lit(groups))
+    return pieces.withColumn("grp", grp).groupBy("grp").applyInPandas(_packed(row_tokens, matrix_rows), MATRIX)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
