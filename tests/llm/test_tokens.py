@@ -33,12 +33,14 @@ def test_segments_encode_as_whole_texts(plain):
     check_encoding(encoder, plain, ["x" * 5000 + " " * 300 + "\n" * 300 + "y" * 5000])
 
 
-def test_a_full_cache_is_made_anew(plain, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 50)
+def test_long_texts_are_cut_without_changing_their_ids(plain, monkeypatch):
     rng, encoder = random.Random(1), tokens.Encoder()
-    for _ in range(20):
-        check_encoding(encoder, plain, [" ".join(f"w{rng.randrange(1000)}" for _ in range(30)) for _ in range(5)])
-    assert len(encoder.known) <= 50 + 150
+    alphabet = ["a", "the", " ", " ", "\n", "\t", "é", "9", "'s", ".", "\u00a0", "\u3000", "\r", "你", "Zq"]
+    for most in (1, 5, 30):
+        monkeypatch.setattr(tokens, "CHUNK_BYTES", most)
+        check_encoding(encoder, plain, TEXTS + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(2000)])
+    text = "ab c" * 50
+    assert "".join(tokens.pieces(text)) == text and max(map(len, tokens.pieces(text))) <= 30
 
 
 def brute_pack(lengths, capacity):

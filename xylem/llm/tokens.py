@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import chunks, lean, parts, text_bytes
+from xylem.llm.common import CHUNK_BYTES, chunks, lean, parts, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts text before the merges of the rank files (a fixed value of that vocabulary).
@@ -26,8 +26,6 @@ ROW_TOKENS = 2048
 GROUP_TOKENS, MATRIX_ROWS = 1 << 20, 64
 #: A text's bytes are about so many times its tokens; only the number of groups hangs on it.
 BYTES_PER_TOKEN = 2.6
-#: Distinct segments kept in a worker's memory; when there are more, they are made anew.
-CACHE = 100_000
 
 
 def encoding(path: str = VOCABULARY):
@@ -40,71 +38,50 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("xylem", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def cuts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the bytes of texts may be parted without changing their ids, each text's begin and end included, in order.
+#: Bytes of spaces in ASCII, and bytes that surely begin no space (C2, E1, E2 and E3 begin those beyond ASCII).
+SPACE, SOLID = np.zeros(256, bool), np.ones(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+SOLID[[*range(9, 14), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
-    The pattern gives the last blank of a run to the word after it, and any other single space there is a piece of its
-    own. So a text may be parted before such a blank, and on both sides of another ASCII space, if what follows is
-    surely no space: ASCII, or a first byte that begins no space beyond ASCII.
-    """
-    if not len(body):
-        return np.unique(offsets)
-    kind = BYTE_KIND[body]
-    kind[offsets[1:][offsets[1:] > 0] - 1] &= 4  # nothing of its own text follows a text's last byte
-    space = np.flatnonzero(kind[:-1] & 3)
-    space = space[(kind[space + 1] & 4) != 0]
-    return np.unique(np.concatenate([offsets, space, space[(kind[space] & 2) != 0] + 1]))
 
+def cuts(body: np.ndarray) -> np.ndarray:
+    """Where a text's bytes may be parted without changing its ids: any of the places, or all of them.
 
-#: Of each byte: 1 a blank, 2 another space of ASCII, 4 surely no space. C2, E1, E2 and E3 begin spaces beyond ASCII.
-BYTE_KIND = np.full(256, 4, np.uint8)
-BYTE_KIND[[*range(9, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = 0
-BYTE_KIND[range(9, 14)] = 2
-BYTE_KIND[32] = 1
+    The pattern parts the last space of a run that something follows from those before it: a blank goes with the word
+    after it, another is a piece of its own. So a text may be parted before such a space.
+    """
+    return np.flatnonzero(SPACE[body[:-1]] & SOLID[body[1:]])
 
 
 class Encoder:
-    """Ids of many texts at once: they are parted in short segments, equal ones are encoded once, and ids are put together by numpy."""
+    """Ids of texts. A text is encoded whole, a very long one in parts of about CHUNK_BYTES, so that memory follows its bytes and not Python's lists of its ids."""
 
     def __init__(self, path: str = VOCABULARY) -> None:
-        self.encode_word = encoding(path).encode_ordinary
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.starts, self.lengths, self.used = np.zeros(1 << 16, np.uint16), [], [], 0
-
-    def learn(self, segment: bytes) -> int:
-        ids = np.array(self.encode_word(segment.decode()), np.uint16)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts.append(self.used)
-        self.lengths.append(len(ids))
-        self.used += len(ids)
-        place = self.known[segment] = len(self.known)
-        return place
+        self.encode_ordinary = encoding(path).encode_ordinary
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Little-endian uint16 ids of a text and END_ID. A null is empty."""
+        out = [np.array(self.encode_ordinary(part), "<u2") for part in pieces(text or "")]
+        return np.concatenate([*out, np.array([END_ID], "<u2")])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Little-endian uint16 ids of all texts, END_ID after each, and where each text's begin (one more entry: the end). A null is empty."""
-        body, offsets = text_bytes(column)
-        if len(self.known) >= CACHE:
-            self.forget()
-        at = cuts(body, offsets)
-        segments = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
-        known, learn = self.known, self.learn
-        place = np.fromiter((known[x] if x in known else learn(x) for x in segments.dictionary.to_pylist()), np.int64, len(segments.dictionary))
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
-        place = place[segments.indices.to_numpy(zero_copy_only=False)]
-        n, first = lengths[place], np.searchsorted(at, offsets)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        begin = ends[first] + np.arange(len(offsets))
-        out = np.full(int(begin[-1]), END_ID, "<u2")
-        if len(place):
-            text = np.searchsorted(offsets, at[:-1], "right") - 1
-            inside = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-            out[inside + np.repeat(ends[:-1] + text, n)] = self.ids[inside + np.repeat(starts[place], n)]
-        return out, begin
+        """Ids of all texts, and where each text's begin (one more entry: the end)."""
+        out = [self.ids(text) for text in column.to_pylist()]
+        return np.concatenate([np.zeros(0, "<u2"), *out]), np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
+
+
+def pieces(text: str) -> list[str]:
+    """A text in parts whose ids one after another are its own, of CHUNK_BYTES at most wherever it may be cut so soon."""
+    if len(text) < CHUNK_BYTES:
+        return [text]
+    body = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    at, out, begin = np.concatenate([[0], cuts(body), [len(body)]]), [], 0
+    while begin < len(body):
+        k = int(np.searchsorted(at, begin + CHUNK_BYTES, "right")) - 1
+        end = int(at[k] if at[k] > begin else at[np.searchsorted(at, begin, "right")])
+        out.append(body[begin:end].tobytes().decode())
+        begin = end
+    return out
 
 
 def _encoded(path: str, capacity: int):
@@ -117,9 +94,9 @@ def _encoded(path: str, capacity: int):
             _, offsets = text_bytes(text)
             for i, j in chunks(offsets):
                 body, begin = encoder.encode(text.slice(i, j - i))
-                pieces = -(-np.diff(begin) // capacity)
-                row = np.repeat(np.arange(j - i), pieces)
-                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                count = -(-np.diff(begin) // capacity)
+                row = np.repeat(np.arange(j - i), count)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * capacity
                 bounds = np.append(begin[row] + start, begin[-1])
                 held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i)), pa.array(start), held], ["id", "start", "ids"])
