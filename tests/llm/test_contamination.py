@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from xylem.llm import contamination as c
 
@@ -89,3 +90,47 @@ def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     assert c.contaminated(no_docs, items).collect() == [] and c.contaminated(odd_docs, items.limit(0)).collect() == []
     kept = c.decontaminated(odd_docs, items)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 11, 12} | {8, 9} - {d for d, _ in got}
+
+
+@pytest.mark.parametrize("n", [1, 4, 15, 24, 31, 48, 49, 63, 97, 127, 200, 255, 400, 511, 512])
+def test_recall_at_all_lengths_up_to_the_threshold(n):
+    """Passages with 0 to 20 % of their words edited at random, amid other words: at least 0.9 are found at each length and share."""
+    rng = random.Random(n)
+    items = [np.array([rng.randrange(1, 5000) for _ in range(n)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(30)]
+    table = c.index(list(enumerate(items)))
+    filters = {size: np.unpackbits(run[3]).astype(bool) for size, run in table["runs"].items()}
+    for share in (0, 0.05, 0.1, 0.15, 0.2):
+        texts = []
+        for item in items:
+            words = [rng.randrange(1, 5000) * 0x9E3779B97F4A7C15 % 2**64 for _ in range(2 * n + 20)]
+            place = item.tolist()
+            for _ in range(int(share * n)):
+                i, kind = rng.randrange(len(place)), rng.randrange(3)
+                place[i : i + (kind != 1)] = [] if kind == 2 else [rng.randrange(1 << 62)]
+            at = rng.randrange(len(words))
+            texts.append(np.array([int(w) for w in words[:at]] + place + [int(w) for w in words[at:]], np.uint64))
+        before = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found = {(r, i) for r, i, *_ in c._found(np.concatenate(texts), before, table, filters)}
+        assert sum((k, k) in found for k in range(30)) >= 27, share
+        every = np.arange(before[-1])
+        if n <= 63:  # where windows begin leaves out nothing that windows at every word find
+            kept = {tuple(x[:2]) for x in c._candidates(np.concatenate(texts), before, every, table).tolist()} & {(k, k) for k in range(30)}
+            assert {(k, k) for k in range(30) if (k, k) in found} <= kept
+
+
+@pytest.mark.parametrize("n", [1, 5, 15, 20, 63, 511])
+def test_some_run_of_words_is_untouched(n):
+    rng = random.Random(n)
+    size = c.untouched(n)
+    for _ in range(300):
+        words = [f"w{i}" for i in range(n)]
+        out = edited(rng, words, c.most_edits(n))
+        runs = {tuple(words[i : i + size]) for i in range(n - size + 1)}
+        assert any(tuple(out[i : i + size]) in runs for i in range(len(out) - size + 1))
+
+
+def test_equal_items_are_found_each_and_shared_passages_too(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([(k, item if k < 50 else item + f" x{k}") for k in range(60)], ITEM)
+    got = c.contaminated(spark.createDataFrame([(1, "a b " + item + " c d")], "doc_id long, text string"), items).collect()
+    assert sorted(r.item_id for r in got) == list(range(60)) and {r.distance for r in got} == {0, 1}
