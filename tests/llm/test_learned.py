@@ -1,9 +1,12 @@
 """Language and toxicity: held-out accuracy, and what may not matter."""
 
+import math
 import random
 
 import pytest
 
+import zstandard
+
 from xylem.llm import language, toxicity
 
 SYLLABLES = {"aa": "ka lo mi ten sar", "bb": "ön üt schi eg arn", "cc": "ção él qui ue ros"}
@@ -76,3 +79,51 @@ def test_toxicity_of_unseen_texts(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).collect() == []
     empty = toxicity.fit(no_docs, labels)
     assert len(toxicity.score(docs, empty).collect()) == 900
+
+
+def test_window_gains_against_plain_compression():
+    """Each gain is one length less another, of windows that hold every byte; counts are what a loop counts."""
+    rng = random.Random(2)
+    texts = [(text_of(rng, "aa", 40) + (" " + " ".join(rng.choices(SLURS, k=5)) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    model = toxicity.trained(texts)
+    assert len(model["pairs"]) == len(toxicity.PAIRS) and any(s.encode() in model["pairs"][0][0] for s in SLURS) and not any(s.encode() in model["base"] for s in SLURS)
+
+    def length(dictionary, window):
+        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False).compress(window))
+
+    gains = toxicity.Gains(model["base"], model["pairs"])
+    for text in [None, "", " ", "a", text_of(rng, "cc", 500), *(t for t, _ in texts[:4])]:
+        cut, body = toxicity.windows(text), toxicity.normal(text)
+        assert cut[0] == body[: toxicity.WINDOW] and all(body[toxicity.STEP * i :].startswith(w) and len(w) <= toxicity.WINDOW for i, w in enumerate(cut))
+        assert toxicity.STEP * (len(cut) - 1) + len(cut[-1]) == len(body)
+        each = [[length(model["base"] + ordinary, w) - length(model["base"] + toxic, w) for w in cut] for toxic, ordinary in model["pairs"]]
+        assert gains.of(cut).tolist() == each
+        summed = [sum(g) // len(each) for g in zip(*each)]
+        least = [min(g) for g in zip(*each)]
+        want = [1.0]
+        for row in (summed, least):
+            up = [sum(g >= k for g in row) for k in range(1, toxicity.MOST_GAIN + 1)]
+            down = [sum(g <= -k for g in row) for k in range(toxicity.LEAST_GAIN, 0, -1)]
+            mean = sum(row) / len(row)
+            want += [math.log1p(n) for n in up] + [5 * math.sqrt(n / len(row)) for n in up] + [math.log1p(n) for n in down] + [5 * math.sqrt(n / len(row)) for n in down]
+            want += [mean, math.sqrt(sum((g - mean) ** 2 for g in row) / len(row))]
+        assert toxicity.features(text, gains) == pytest.approx([*want, math.log1p(len(cut)) / 5])
+
+
+def test_one_label_alone_teaches_nothing():
+    assert toxicity.learn([]) == toxicity.learn([(1, "a b c", 1), (2, "", 1)]) == {"base": b"", "pairs": [], "weights": []}
+    assert len(toxicity.learn([(1, "a b c", 1), (2, "", 0), (3, "x", 0)])["weights"]) == len(toxicity.features("", toxicity.Gains(b"", [(b"", b"")])))
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = [(i, text_of(random.Random(i), "aa", 50)) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    learn, toxicity.learn = toxicity.learn, seen.append
+    try:
+        toxicity.fit(docs, labels, per_class_bytes=2000)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.learn = learn
+    assert all(0 < sum(len(t) for _, t, y in seen[0] if y == label) <= 2000 for label in (0, 1)) and len(seen[1]) == 200

@@ -55,11 +55,14 @@ class Scratch:
         self.tables.append(save(df, name))
         return self.tables[-1]
 
-    def result(self, df: DataFrame, name: str) -> DataFrame:
-        out = save(df, name)
+    def clear(self) -> None:
         for table in self.tables:
             discard(table)
         self.tables = []
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = save(df, name)
+        self.clear()
         return out
 
 
