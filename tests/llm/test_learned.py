@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -41,6 +42,63 @@ def test_language_of_unseen_texts(spark, corpus, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(corpus, nothing).collect()} == {"und"}
 
 
+def naive_model(rows):
+    """{lang: [counts of words, of 1-grams ... 4-grams]} by loops."""
+    model = {}
+    for lang, text in rows:
+        counts = model.setdefault(lang, [Counter() for _ in range(5)])
+        for w in language.words(text):
+            counts[0][w] += 1
+            for n in range(1, 5):
+                for i in range(len(w) + 3 - n):
+                    counts[n][f"<{w}>"[i : i + n]] += 1
+    return model
+
+
+def naive_scores(model, text):
+    """{lang: sum of logs}: a known word by its frequency, another by the longest known n-grams from its left."""
+    sizes = [len({x for c in model.values() for x in c[n]}) for n in range(5)]
+    log = lambda lang, n, item: math.log((model[lang][n][item] + 0.5) / (sum(model[lang][n].values()) + 0.5 * (sizes[n] + 1)))
+    out = dict.fromkeys(sorted(model), 0.0)
+    for w in language.words(text):
+        if any(w in c[0] for c in model.values()):
+            for lang in out:
+                out[lang] += log(lang, 0, w)
+            continue
+        rest = f"<{w}>"
+        while rest:
+            n = next((n for n in (4, 3, 2, 1) if len(rest) >= n and any(rest[:n] in c[n] for c in model.values())), 0)
+            for lang in out:
+                out[lang] += language.BACKOFF * log(lang, n, rest[:n]) if n else 0.0
+            rest = rest[n or 1 :]
+    return out
+
+
+def test_language_against_brute_force(spark, corpus):
+    taught = [(r.lang, r.text) for r in corpus.where("doc_id % 3 <> 0").collect()]
+    model, naive = language.fit(corpus.where("doc_id % 3 <> 0")), naive_model(taught)
+    for n in range(5):
+        assert model["items"][n][0] == sorted({x for c in naive.values() for x in c[n]})
+    rng = random.Random(9)
+    texts = [text_of(rng, rng.choice(list(SYLLABLES)), 30) for _ in range(60)] + ["qqq zzz", "kalo", "ön ção x", "  ", None, "!!", "Kalo KALO kalo-kalo"]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        want = naive_scores(naive, text)
+        if not language.words(text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        best = max(want.values())
+        assert want[got[i].lang_pred] == pytest.approx(best, abs=1e-3)
+        assert got[i].score == pytest.approx(1 / sum(math.exp(x - best) for x in want.values()), abs=1e-3)
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, "kalo w" + "".join(chr(97 + int(c)) for c in str(i)), "aa") for i in range(3000)] + [(None, "kalo mi ten", "bb")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, per_language=300)
+    assert 200 < sum(x.startswith("w") for x in model["items"][0][0]) < 400 and model["langs"] == ["aa", "bb"]
+
+
 def test_letters():
     assert language.words("x² ½") == ["x²", "½"] and language.words("² ½ 12") == language.words(None) == language.words(" -- ") == []
     assert language.words("Ünï code-MIX") == ["ünï", "code", "mix"]

@@ -14,13 +14,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from xylem.llm.common import lean, parts
 
-#: Texts to learn from per language (about; chosen by a hash of the id), and what is kept of them.
-TRAIN_TEXTS, WORDS, GRAMS, LONGEST = 3000, 30_000, 8_000, 4
+#: Texts to learn from per language (about; chosen by a hash of id and text), and characters of the longest n-gram.
+TRAIN_TEXTS, LONGEST = 1000, 4
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Unseen words kept in a worker's memory.
@@ -63,19 +62,22 @@ def _counted(batches):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_TEXTS) -> dict:
     """{langs, items: {n: (items, float32 log frequencies, one row per item)}, floor, cover}.
 
-    floor is the log frequency of a word that a language lacks; cover, the share of a language's letters that is in its kept words. Rows without a language or text teach nothing; an empty table gives no languages."""
+    All words and n-grams of the sample are kept; the model is bounded by per_language alone. floor is the log frequency
+    of a word that a language lacks; cover, the share of a language's letters to be expected in known words of a text
+    that taught nothing: what is not in words seen once. Rows without a language or text teach nothing, repeated rows
+    once, null ids like others; an empty table gives no languages. Texts are learnt whole. One number a language goes to
+    the driver before the model does. Ids must be numbers or texts of numbers.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "items": {}, "floor": [], "cover": []}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()])
-    sample = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("language")), F.lit(1 << 40)) < share * float(1 << 40))
-    total = sample.select("lang", "text").mapInArrow(lean(_counted), "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
-    place = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.col("times").desc(), "item"))
-    best = total.where("n > 0 or times > 1").withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
+    sample = rows.where(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 40)) < share * float(1 << 40))
+    total = sample.select("id", "lang", "text").distinct().select("lang", "text").mapInArrow(lean(_counted), "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
     items: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
-    for r in best.select("lang", "n", "item", "times").toLocalIterator(prefetchPartitions=True):
+    for r in total.select("lang", "n", "item", "times").toLocalIterator(prefetchPartitions=True):
         items[r.n].setdefault(r.item, np.zeros(len(langs), np.float32))[langs.index(r.lang)] = r.times
     model, floor, known, letters = {}, [], 0, 0
     for n, found in items.items():
@@ -83,7 +85,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         k = np.array([found[x] for x in names], np.float64).reshape(len(names), len(langs))
         model[n] = names, np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * (len(names) + 1))).astype(np.float32)
         if n == 0:
-            floor, known = np.log(0.5 / (k.sum(axis=0) + 0.5 * (len(names) + 1))), np.array([len(x) for x in names], np.float64) @ k
+            floor, known = np.log(0.5 / (k.sum(axis=0) + 0.5 * (len(names) + 1))), np.array([len(x) for x in names], np.float64) @ np.where(k > 1, k, 0)
         elif n == 1:
             letters = k[[x not in "<>" for x in names]].sum(axis=0)
     return {"langs": langs, "items": model, "floor": floor, "cover": known / np.maximum(letters, 1)}
@@ -170,7 +172,9 @@ def in_known_language(docs: DataFrame, model: dict, least_score: float, least_kn
     """docs whose text is in one of the model's languages; rows are let through where they are read, without a shuffle.
 
     The likeliest language must have such a score, which only parts the taught languages from each other, and the share of
-    the text's letters that is in words of that language must be least_known of what it is in the texts that taught it.
+    the text's letters that is in words of that language must be least_known of what is expected of it. Null, empty and
+    letterless texts go. All columns are kept, whatever their names; repeated rows and null ids are judged each; an empty
+    table stays empty.
     """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
@@ -198,8 +202,10 @@ def in_known_language(docs: DataFrame, model: dict, least_score: float, least_kn
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score for each row of docs, by its whole text alone.
 
-    A text that is null or has no letter, and any text under a model of no languages, is `und` with score 0. Ties go to
-    the first language in order. The model is bounded by WORDS and GRAMS per language and broadcast.
+    A text that is null, empty or has no letter, and any text under a model of no languages, is `und` with score 0. Ties
+    go to the first language in order. Texts of any length are read whole, repeated rows judged each, an empty table
+    gives an empty result, a null id stays null (others must be numbers or texts of numbers). Other columns are not read, so their names
+    don't matter. The model is broadcast: the words of per_language texts of each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_predicted(shared)), "id long, lang_pred string, score double")

@@ -24,7 +24,7 @@ from xylem.llm.common import Scratch, lean, parts
 #: Labelled texts to learn from, at most so many of either label (about; by a hash of the id) and so many bytes of each.
 TRAIN_TEXTS, TRAIN_BYTES = 3000, 16 << 20
 #: Bytes of a window, and from one to the next.
-WINDOW, STEP = 64, 32
+WINDOW, STEP = 96, 48
 #: Bytes of a dictionary and of the segments that training picks for it: of the base, and of each pair.
 BASE, PAIRS = (65_536, 24), ((8_192, 12), (24_576, 16), (49_152, 24))
 #: Bytes of the units whose repeats training counts, and of a training sample.
