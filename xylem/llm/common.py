@@ -20,9 +20,11 @@ PART_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, one of our own in local mode, where there is but one machine; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="xylem-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -243,10 +245,12 @@ class Forest:
         return x != y
 
 
-def blocked(rows: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in; blocks cut a group evenly by a hash of the id."""
-    counts = rows.groupBy(*group).agg(F.count("*").alias("members")).where("members > 1")
-    rows = rows.join(counts, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
+def blocked(rows: DataFrame, group: list[str], size: int, weight=None, most: int = 1) -> DataFrame:
+    """Each row once for every pair of blocks that its own block is in; blocks cut a group evenly by a hash of the id, into about `size` rows and, by their weights, `most` at most."""
+    parts = F.ceil(F.count("*") / size)
+    parts = parts if weight is None else F.greatest(parts, F.ceil(F.sum(weight) / most))
+    counts = rows.groupBy(*group).agg(F.count("*").alias("members"), parts.cast("int").alias("blocks")).where("members > 1")
+    rows = rows.join(counts, group)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("members", "blocks", "own", "other")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, group_starts, lean, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
+from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, fresh, group_starts, lean, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -28,8 +28,10 @@ LOW_BITS = 2
 SIG_WORDS = -(-PERMUTATIONS * LOW_BITS // 64)
 #: Two texts of similarity 0.75 are estimated lower than this once in some millions.
 LEAST_ESTIMATE = 0.56
-#: Classes of one block of the exact step; a task holds two blocks.
-BLOCK = 256
+#: Classes, and bytes of their sets, of one block of the exact step (about; one set may be larger); a task holds two blocks.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: Pairs of one hub that meet a copy of it, about.
+PER_HUB = 256
 #: Buckets of no more rows are compared pair by pair, many at once; so many pairs at a time.
 SMALL, PAIRS = 48, 1 << 17
 #: Copies of a class row, so that a large class's documents meet it in as many tasks.
@@ -117,27 +119,31 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _estimated(batches):
     for batch in batches:
         as_matrix = lambda k, b=batch: np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, SIG_WORDS)
-        keep = estimates(as_matrix("s"), as_matrix("t")) >= LEAST_ESTIMATE
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        keep = estimates(as_matrix("sig"), as_matrix("t")) >= LEAST_ESTIMATE
+        yield batch.select(["a", "b", "salt"]).filter(pa.array(keep))
 
 
 def _confirmed(batches):
     for batch in batches:
-        keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        of = lambda name, k, b=batch: np.frombuffer(b.column(name)[k].as_buffer(), np.uint64)
+        yield batch.select(["a", "b"]).filter(pa.array([_similar(of("x", k), of("y", k)) for k in range(len(batch))], pa.bool_()))
 
 
 def _near(batches):
-    """Whole groups (key, low, high) of rows (comp, sig), sorted by these and side: pairs of components that the estimate cannot part, as a forest."""
+    """Whole groups (key, low, high) of rows (comp, id, sig), sorted by these and side: what the estimate cannot part.
+
+    (a, b): pairs of components, as a forest; (id, null): the rows of such pairs.
+    """
     for batch in whole_groups(batches, ("key", "low", "high")):
-        key, low, high, side, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high", "side", "comp"))
+        key, low, high, side, comp, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high", "side", "comp", "id"))
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, SIG_WORDS)
         starts, ends = group_starts(key, low, high)
-        forest, out = Forest(), []
+        forest, out, held = Forest(), [], np.zeros(len(ids), bool)
 
         def joined(a: np.ndarray, b: np.ndarray) -> None:
             a, b = a[comp[a] != comp[b]], b[comp[a] != comp[b]]
             near = estimates(sig[a], sig[b]) >= LEAST_ESTIMATE
+            held[a[near]] = held[b[near]] = True
             for x, y in np.unique(np.stack([comp[a[near]], comp[b[near]]], axis=1), axis=0).tolist():
                 if forest.join(x, y):
                     out.append((x, y))
@@ -150,7 +156,8 @@ def _near(batches):
             one, two = (rows, rows) if low[s] == high[s] else (rows[side[s:e] == 0], rows[side[s:e] == 1])
             for i in one:
                 joined(np.full(len(two), i), two)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        rows = np.unique(ids[held]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out] + rows, pa.int64()), pa.array([y for _, y in out] + [None] * len(rows), pa.int64())], ["a", "b"])
 
 
 def _cross(pdf):
@@ -181,20 +188,29 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_signatures), "id long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
+def met_by_hub(pairs: DataFrame, values: DataFrame, name: str, other: str) -> DataFrame:
+    """pairs (a, b, salt) with the value (id, name) of a, and that of b as other.
+
+    Many pairs may share a hub b; its value has a copy for each of its salts, so no task meets all of them.
+    """
+    hubs = values.join(pairs.select(F.col("b").alias("id"), "salt").distinct(), "id").select(F.col("id").alias("b"), "salt", F.col(name).alias(other))
+    return pairs.join(values.select(F.col("id").alias("a"), name), "a").join(hubs, ["b", "salt"]).select("a", "b", "salt", name, other)
+
+
 def confirm(texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: (id, text)."""
+    """The pairs (a, b, salt) whose full sets are similar, as (a, b). texts: (id, text)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(lean(_sets), "id long, items binary"), "sets")
-    x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_confirmed), "a long, b long")
+    sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(lean(_sets), "id long, x binary"), "sets")
+    return met_by_hub(pairs, sets, "x", "y").select("a", "b", "x", "y").mapInArrow(lean(_confirmed), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
 
-    A null or blank text has n_shingles 0 and is alone in its component. Rows that share an id are one document.
-    A null id is linked with nothing: component_id null, kept true. Other columns of docs are neither read nor returned.
+    A null, empty or blank text has n_shingles 0 and is alone in its component. Rows that share an id are one document,
+    repeated rows too; of ties the smallest id stands for all. A null id is linked with nothing: component_id null, kept
+    true. Ids must be numbers or texts of numbers. Whole texts of any length are compared. An empty table gives an empty
+    result. Other columns of docs are neither read nor returned, so their names don't matter.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scratch = Scratch()
@@ -210,14 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets with two classes at least.
     entries = reps.select("id", F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("members")).where("hub < top").select("key", "hub", "members")
     entries = scratch.save(entries.join(hubs, "key"), "entries")
 
     # Each member against the smallest of its bucket.
-    pairs = entries.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = entries.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("members").alias("members"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / PER_HUB)).alias("salt"))
     sig = reps.select("id", "sig")
-    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b")
-    pairs = scratch.save(pairs.select("a", "b", "s", "t").mapInArrow(lean(_estimated), "a long, b long"), "pairs")
+    pairs = scratch.save(met_by_hub(pairs, sig, "sig", "t").mapInArrow(lean(_estimated), "a long, b long, salt long"), "pairs")
     links = scratch.save(confirm(texts, pairs, scratch), "confirmed")
     found = scratch.save(connected_components(links, scratch), "components")
 
@@ -225,14 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = entries.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_rows = scratch.save(placed.join(mixed, "key"), "open")
-    near = blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("side").cast("long").alias("side"), "comp", "sig")
-    near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(lean(_near), "a long, b long")
-    groups = connected_components(near, scratch)
-    waiting = open_rows.select("id", "comp").distinct().join(groups.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp")
-    waiting = scratch.save(waiting, "waiting")
+    near = blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("side").cast("long").alias("side"), "comp", "id", "sig")
+    near = scratch.save(near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(lean(_near), "a long, b long"), "near")
+    groups = connected_components(near.where("b is not null"), scratch)
+    waiting = open_rows.join(near.where("b is null").select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "comp").distinct()
+    waiting = scratch.save(waiting.join(groups.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp"), "waiting")
     if not waiting.isEmpty():
         sets = texts.join(waiting.select("id").distinct(), "id", "left_semi").mapInArrow(lean(_sets), "id long, items binary")
-        held = blocked(waiting.join(sig, "id").join(sets, "id"), ["grp"], BLOCK)
+        held = blocked(waiting.join(sig, "id").join(sets, "id"), ["grp"], BLOCK, F.octet_length("items"), BLOCK_BYTES)
         more = held.groupBy("grp", "low", "high").applyInPandas(_cross, "a long, b long")
         links = links.select("a", "b").unionAll(more)
         found = connected_components(links.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
@@ -245,6 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the first document of each component; every column of docs is kept."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """docs without all but the first document of each component (see near_duplicates).
+
+    Every column of docs is kept, whatever its name; rows without an id, without words, and repeated rows of a kept id stay.
+    """
+    gone = fresh(docs, "gone")
+    away = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(away, docs[id_col].cast("long") == F.col(gone), "left_anti")
