@@ -23,7 +23,7 @@ def pixels(lines: DataFrame, value: str = "g") -> DataFrame:
 
 def lines_of(px: DataFrame, value: str = "g") -> DataFrame:
     """The inverse of pixels()."""
-    packed = F.array_sort(F.collect_list(F.struct("x", value)))
+    packed = F.sort_array(F.collect_list(F.struct("x", value)))
     return px.groupBy("image_id", "y").agg(F.transform(packed, lambda p: p[value].cast("double")).alias("g"))
 
 
@@ -79,8 +79,10 @@ def equalise(lines: DataFrame) -> DataFrame:
     of = W.partitionBy("image_id")
     least, total = F.min("cdf").over(of), F.max("cdf").over(of)
     level = F.when(total > least, F.floor((F.col("cdf") - least) / (total - least) * 255 + 0.5)).otherwise(F.col("v")).cast("double")
-    table = h.select("image_id", "v", level.alias("to")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("v", "to"))).alias("__to"))
-    return lines.join(table, "image_id").withColumn("g", F.transform("g", lambda v: F.element_at("__to", v.cast("int")))).drop("__to")
+    table = h.select("image_id", "v", level.alias("to")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("v", "to"))).alias("m"))
+    # A map is searched from its first entry, an array is not: so one array for each image.
+    table = table.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.try_element_at("m", v)).alias("__to"))
+    return lines.join(table, "image_id").withColumn("g", F.transform("g", lambda v: F.get("__to", v.cast("int")))).drop("__to")
 
 
 def unsharp(lines: DataFrame, amount: float = 1.5) -> DataFrame:

@@ -40,15 +40,23 @@ def ray_profile(lines: DataFrame, cx: float, cy: float, radii: range, angles: in
 
 
 def polar(lines: DataFrame, cx: float, cy: float, max_radius: int, angles: int = 360) -> DataFrame:
-    """(image_id, r, a): at each radius the values by angle, of the nearest pixels; what lies outside the image is 0."""
-    grid = ray_grid(lines.sparkSession, cx, cy, range(max_radius), angles, truncate=False)
-    held = sampled(lines, grid).groupBy("image_id", "r").agg(F.map_from_entries(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "v")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)))
-    rows = held.where("r is not null").select("image_id", "r", dense.alias("a"))
-    full = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "a"))).alias("m"))
-    nothing = F.array_repeat(F.lit(0.0), angles)
-    each = F.transform(F.sequence(F.lit(0), F.lit(max_radius - 1)), lambda r: F.struct(r.alias("r"), F.coalesce(F.try_element_at("m", r), nothing).alias("a")))
-    return full.select("image_id", F.explode(each).alias("z")).select("image_id", "z.*")
+    """(image_id, r, a): at each radius the values by angle, of the nearest pixels; what lies outside the image is 0.
+
+    An image's lines (0, 1, 2 ..., none missing) are gathered in one row, where any pixel is reached by its place: no
+    join, and no row for a sample.
+    """
+    held = lines.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "g"))).alias("p")).select("image_id", F.col("p.g").alias("m"))
+
+    def value(r: Column, t: Column) -> Column:
+        angle = t * (2 * math.pi) / angles
+        x, y = F.floor(r * F.cos(angle) + (cx + 0.5)).cast("int"), F.floor(r * F.sin(angle) + (cy + 0.5)).cast("int")
+        # get() of a negative place, and of one behind the end, is null.
+        return F.coalesce(F.get(F.get("m", y), x), F.lit(0.0))
+
+    circle = lambda r: F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda t: value(r, t))
+    radii = F.sequence(F.lit(0), F.lit(max_radius - 1)) if max_radius > 0 else F.array().cast("array<int>")
+    rows = held.select("image_id", F.explode_outer(F.transform(radii, lambda r: F.struct(r.alias("r"), circle(r).alias("a")))).alias("z"))
+    return rows.select("image_id", "z.r", "z.a").where("r is not null")
 
 
 def angular_median(polar_rows: DataFrame, size: int = 5, angles: int = 360) -> DataFrame:
@@ -56,7 +64,7 @@ def angular_median(polar_rows: DataFrame, size: int = 5, angles: int = 360) -> D
     half = size // 2
     at = lambda t: F.get("a", F.when(t < 0, -t - 1).when(t >= angles, 2 * angles - 1 - t).otherwise(t))
     around = lambda t: F.array(*[at(t + d) for d in range(-half, half + 1)])
-    return polar_rows.withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda t: F.get(F.array_sort(around(t)), F.lit(half))))
+    return polar_rows.withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda t: F.get(F.sort_array(around(t)), F.lit(half))))
 
 
 def _mean(values: Column) -> Column:

@@ -44,7 +44,7 @@ def greedy(positions: Column, distance: int) -> Column:
 
 def suppress(peaks: DataFrame, distance: int, all_ids: DataFrame | None = None) -> DataFrame:
     """(image_id, radii, ring_count) by greedy suppression; with all_ids (image_id), those without a peak have none."""
-    out = peaks.groupBy("image_id").agg(greedy(F.array_sort(F.collect_list("r")), distance).alias("radii"))
+    out = peaks.groupBy("image_id").agg(greedy(F.sort_array(F.collect_list("r")), distance).alias("radii"))
     if all_ids is not None:
         out = all_ids.join(out, "image_id", "left").withColumn("radii", F.coalesce("radii", F.array().cast("array<int>")))
     return out.withColumn("ring_count", F.size("radii"))
@@ -75,7 +75,7 @@ def smooth(series: DataFrame, sigma: float) -> DataFrame:
     """Gaussian filter; beyond an end the series is mirrored, the end sample twice."""
     weights = gaussian_weights(sigma)
     half, n = len(weights) // 2, F.size("__a")
-    packed = series.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("__p")).select("image_id", F.col("__p.r").alias("__r"), F.col("__p.v").alias("__a"))
+    packed = series.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("__p")).select("image_id", F.col("__p.r").alias("__r"), F.col("__p.v").alias("__a"))
 
     def at(i: Column) -> Column:
         m = F.pmod(i, 2 * n)
@@ -88,13 +88,13 @@ def smooth(series: DataFrame, sigma: float) -> DataFrame:
             total = term if total is None else total + term
         return total
 
-    out = packed.select("image_id", F.explode(F.arrays_zip(F.col("__r").alias("r"), F.transform(F.sequence(F.lit(0), n - 1), value).alias("v"))).alias("z"))
+    out = packed.select("image_id", F.explode_outer(F.arrays_zip(F.col("__r").alias("r"), F.transform(F.sequence(F.lit(0), n - 1), value).alias("v"))).alias("z"))
     return out.select("image_id", "z.r", "z.v")
 
 
 def autocorrelation(series: DataFrame, most_lag: int | None = None) -> DataFrame:
     """(image_id, lag, v): sums of products of the centred series at each lag, over that at lag 0 (where it is not 0)."""
-    packed = series.groupBy("image_id").agg(F.avg("v").alias("m"), F.array_sort(F.collect_list(F.struct("r", "v"))).alias("p"))
+    packed = series.groupBy("image_id").agg(F.avg("v").alias("m"), F.sort_array(F.collect_list(F.struct("r", "v"))).alias("p"))
     packed = packed.select("image_id", F.transform("p.v", lambda v: finite(v - F.col("m"))).alias("a"))
     n = F.size("a")
     lags = F.sequence(F.lit(0), n - 1 if most_lag is None else F.least(n - 1, F.lit(most_lag)))
@@ -103,7 +103,8 @@ def autocorrelation(series: DataFrame, most_lag: int | None = None) -> DataFrame
         pairs = F.zip_with(F.slice("a", F.lit(1), n - lag), F.slice(F.col("a"), lag + 1, n - lag), lambda x, y: x * y)
         return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
-    rows = packed.withColumn("c", F.transform(lags, product)).select("image_id", F.get("c", F.lit(0)).alias("c0"), F.posexplode("c").alias("lag", "v"))
+    # The outer form, since the arrays are never empty: the other one filters by their size first, and computes them twice.
+    rows = packed.withColumn("c", F.transform(lags, product)).select("image_id", F.get("c", F.lit(0)).alias("c0"), F.posexplode_outer("c").alias("lag", "v"))
     return rows.select("image_id", "lag", F.when(F.col("c0") != 0, F.col("v") / F.col("c0")).otherwise(F.col("v")).alias("v"))
 
 
@@ -131,7 +132,7 @@ def vote(detections: DataFrame, tolerance: int = 10, least_sectors: int = 4) ->
     Sorted by radius, a group takes all within `tolerance` of its first; it is a ring if so many different sectors are
     in it, of the median radius, cut to a whole number. The next group starts after it either way.
     """
-    sorted_all = F.array_sort(F.collect_list(F.struct("radius", "sector")))
+    sorted_all = F.sort_array(F.collect_list(F.struct("radius", "sector")))
     packed = detections.groupBy("image_id").agg(sorted_all.cast("array<struct<radius:int,sector:int>>").alias("d"))
     start = F.struct(F.lit(None).cast("int").alias("anchor"), F.array().cast("array<int>").alias("anchors"))
 

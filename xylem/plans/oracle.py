@@ -76,7 +76,7 @@ SQL = {
     "sector_bbox": f"with {CANVAS} select image_id, least({SECTOR}, 15) as sector, count(*) as n_pixels, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from canvas group by 1, 2",
     "space_saved": f"""with {CANVAS}, box as (select image_id, least({SECTOR}, 15) as sector, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) as kept from canvas group by 1, 2),
       whole as (select image_id, count(*) as n from canvas group by 1)
-      select image_id, count(*) as slices, round(100.0 * (count(*) * any_value(n) - sum(kept)) / (count(*) * any_value(n)), 6) as saved from box join whole using (image_id) group by image_id""",
+      select image_id, count(*) as slices, round(100.0 * (count(*) * any_value(n) - sum(kept)) / (count(*) * any_value(n)), 9) as saved from box join whole using (image_id) group by image_id""",
     "listing_by_prefix": "select source as prefix, count(*) as files, cast(sum(n_chars) as bigint) as bytes from documents group by source",
     "subsample_stride": f"""with {CANVAS}, m as (select *, row_number() over (partition by image_id order by y, x) as place, count(*) over (partition by image_id) as n from canvas where g > 127)
       select image_id, y, x, g from m where (place - 1) % greatest(1, n // 500) = 0""",
@@ -114,10 +114,10 @@ SQL = {
     "period_spacing": f"""with {DFT}, b as (select image_id, first(k order by round(power, 6) desc, k) as best_k, 64 / cast(first(k order by round(power, 6) desc, k) as double) as q from power group by 1)
       select image_id, best_k, cast(round_even(q, 0) as int) as spacing from b""",
     "percentile_radius": f"with {CANVAS} select image_id, round(quantile_cont(sqrt((x - 31.5) * (x - 31.5) + (y - 24.5) * (y - 24.5)), 0.87), 6) as r_valid from canvas where g > 127 group by 1",
-    "moments_centre": f"with {CANVAS} select image_id, round(sum(x * g) / sum(g), 6) as cx, round(sum(y * g) / sum(g), 6) as cy from canvas where g > 127 group by 1",
+    "moments_centre": f"with {CANVAS} select image_id, round(sum(x * g) / sum(g), 9) as cx, round(sum(y * g) / sum(g), 9) as cy from canvas where g > 127 group by 1",
     "nearest_centroid": f"with {NEAREST} select point_id, cast(centroid_id as int) as centroid_id from near",
-    "lloyd_step": f"""with {NEAREST}, m as (select centroid_id, avg(v) as v, avg(h) as h from near group by 1) select cast(c.centroid_id as int) as centroid_id, round(coalesce(m.v, cv), 6) as v, round(coalesce(m.h, ch), 6) as h from {CENTROIDS} left join m using (centroid_id)""",
-    "mask_coverage": f"with {CANVAS} select image_id, round(avg(cast(g > 127 as int)), 6) as coverage from canvas group by 1",
+    "lloyd_step": f"""with {NEAREST}, m as (select centroid_id, avg(v) as v, avg(h) as h from near group by 1) select cast(c.centroid_id as int) as centroid_id, round(coalesce(m.v, cv), 9) as v, round(coalesce(m.h, ch), 9) as h from {CENTROIDS} left join m using (centroid_id)""",
+    "mask_coverage": f"with {CANVAS} select image_id, round(avg(cast(g > 127 as int)), 9) as coverage from canvas group by 1",
     "patch_grid": f"with {CANVAS} select image_id, y // 20 as patch_y, x // 20 as patch_x, count(*) as n, sum(g) as total from canvas group by 1, 2, 3",
     "unsharp_mask": f"with {CANVAS}, {GAUSS} select c.image_id, c.y, c.x, greatest(0.0, least(255.0, floor(c.g * 2.5 - b.g * 1.5 + 0.5))) as g from canvas c join blurred b using (image_id, y, x)",
     "annotation_explode": """with a as (select vec_id as image_id, s, p, cast(trunc(cast(embedding[s * 8 + p * 2 + 1] as double) * 100) as int) as x, cast(trunc(cast(embedding[s * 8 + p * 2 + 2] as double) * 100) as int) as y

@@ -26,8 +26,9 @@ def query(f):
     return f
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    """9 places where a share of a count may end in a 5 at the seventh, which engines round either way."""
+    return df.withColumns({n: F.round(n, places) for n in names})
 
 
 @query
@@ -128,7 +129,7 @@ def space_saved(spark: SparkSession, d: str) -> DataFrame:
     boxes = radial.slice_boxes(L.pixels(lines), *HALF, 16)
     whole = lines.groupBy("image_id").agg(F.sum(F.size("g")).alias("n"))
     kept = boxes.groupBy("image_id").agg(F.count("*").alias("slices"), F.sum((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).alias("kept"))
-    return kept.join(whole, "image_id").select("image_id", "slices", F.round(C.space_saved(F.col("slices") * F.col("n"), F.col("kept")), 6).alias("saved"))
+    return kept.join(whole, "image_id").select("image_id", "slices", F.round(C.space_saved(F.col("slices") * F.col("n"), F.col("kept")), 9).alias("saved"))
 
 
 @query
@@ -241,7 +242,7 @@ def percentile_radius(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def moments_centre(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.moments(canvas(spark, d), 127), "cx", "cy")
+    return rounded(L.moments(canvas(spark, d), 127), "cx", "cy", places=9)
 
 
 def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -256,12 +257,12 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(radial.lloyd_step(*_points(spark, d), ("v", "h")), "v", "h")
+    return rounded(radial.lloyd_step(*_points(spark, d), ("v", "h")), "v", "h", places=9)
 
 
 @query
 def mask_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.coverage(canvas(spark, d), 127), "coverage")
+    return rounded(L.coverage(canvas(spark, d), 127), "coverage", places=9)
 
 
 @query
