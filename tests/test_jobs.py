@@ -127,6 +127,15 @@ def test_uploads(spark, pictures, tmp_path):
     folder, _ = pictures
     done = objects.upload_folder(spark, str(folder), "images/", objects.LocalStore(str(tmp_path / "s")))
     assert done.where("ok").count() == 4 and (tmp_path / "s/images/b.png").exists()
+    (folder / "more").mkdir()
+    (folder / "more/b.png").write_bytes(b"another")
+    again = objects.upload_folder(spark, str(folder), "deep", objects.UriStore((tmp_path / "u").as_uri()), "png").collect()
+    assert {r.key for r in again} == {"deep/b.png", "deep/broken.png", "deep/more/b.png"} and all(r.ok for r in again)
+    assert (tmp_path / "u/deep/more/b.png").read_bytes() == b"another" and not list((tmp_path / "u").rglob("*.tmp"))
+    (folder / "more/b.png").unlink()
+    assert objects.upload_manifest(done, "objects.invalid", "lists/all", objects.UriStore((tmp_path / "u").as_uri())).where("ok").count() >= 1
+    urls = [json.loads(x) for f in (tmp_path / "u/lists").iterdir() for x in f.read_text().splitlines()]
+    assert {"filename": "b.png", "url": "https://objects.invalid/images/b.png"} in urls and len(urls) == 4
     listed = objects.manifest(done, "objects.invalid")
     objects.write_csv(listed, str(tmp_path / "manifest"))
     read = spark.read.csv(str(tmp_path / "manifest"), header=True)
@@ -176,3 +185,27 @@ def test_scaling_task(spark):
     from xylem.operators.udfs import slow_task
 
     assert slow_task(spark.range(0, 1000, 1, 100), 0.0).agg(F.count("*"), F.sum("doubled")).first() == (1000, 999_000)
+
+
+def test_program_runs_a_folder_of_messages(spark, pictures, tmp_path):
+    """value in, value out: a folder of messages stands for the topic, and results come as the same JSON lines."""
+    from xylem.__main__ import arguments, main
+
+    folder, _ = pictures
+    (tmp_path / "messages").mkdir()
+    (tmp_path / "messages/1.txt").write_text("\n".join([json.dumps(m | {"file": f"{folder.as_uri()}/{m['file']}"}) for m in MESSAGES] + ["garbage"]))
+    main(["--messages", str(tmp_path / "messages"), "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "checkpoint"), "--store", (tmp_path / "s").as_uri(), "--once"])
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    status = {r["jobId"]: r["status"] for r in got}
+    assert len(got) == 6 and status["ok"] == "COMPLETED" and status["lost"] == status[None] == "FAILED"
+    assert list((tmp_path / "s/app/results").glob("ok_*.png"))
+    with pytest.raises(SystemExit):
+        arguments([])
+
+
+def test_jpeg_files_are_scanned(spark, tmp_path):
+    image = spark._jvm.java.awt.image.BufferedImage(40, 30, 5)
+    for name in ("a.jpg", "b.JPEG"):
+        assert spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / name)))
+    rows = images.scan_images(spark, str(tmp_path)).collect()
+    assert sorted((r.image, r.height, r.width, r.ok) for r in rows) == [("a", 30, 40, True), ("b", 30, 40, True)]

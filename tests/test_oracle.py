@@ -12,7 +12,7 @@ from xylem.plans.queries import QUERIES
 DATA = "/root/testdata"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "array<int>": "INTEGER[]", "boolean": "BOOLEAN"}
 #: No SQL can say these; test_vision.py holds them against images with known answers.
-NO_SQL = {"image_pipeline", "kmeans_rings", "image_slices", "mock_ring_detection", "image_scan_status"}
+NO_SQL = {"image_pipeline", "kmeans_rings", "mock_ring_detection"}
 
 
 @pytest.fixture(scope="module")

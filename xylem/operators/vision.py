@@ -317,15 +317,17 @@ def cached_model(path: str, load: Callable[[str], Predictor]) -> Predictor:
 def download(url: str, path: str, piece: int = 8192) -> str:
     """A model file, streamed to path in pieces unless it is there; an error without a URL."""
     import os
+    import uuid
     from urllib.request import urlopen
 
     if not os.path.exists(path):
         if not url:
             raise ValueError(f"no model at {path} and no URL to load it from")
-        with urlopen(url) as answer, open(f"{path}.part", "wb") as f:  # noqa: S310
+        partial = f"{path}.{uuid.uuid4().hex}.part"  # several workers of a host may load at once
+        with urlopen(url) as answer, open(partial, "wb") as f:  # noqa: S310
             while part := answer.read(piece):
                 f.write(part)
-        os.replace(f"{path}.part", path)
+        os.replace(partial, path)
     return path
 
 

@@ -127,6 +127,13 @@ SQL = {
     "pipeline_envelope": f"""with {JOBS} select jobId, clientId, case when o_orderkey % 17 = 0 then 'FAILED' else 'COMPLETED' end as status, case when o_orderkey % 17 <> 0 then file end as url,
       case when o_orderkey % 17 <> 0 then coalesce(mx, 0.0) end as x, case when o_orderkey % 17 = 0 then 'Failed to download image' end as error from jobs""",
     "stream_parse_available_now": "select event_id, cast(json_extract(props, '$.k') as int) as k from events",
-    "url_manifest": "select regexp_extract(url, '([^/]*)$', 1) as filename, 'https://objects.invalid/pages/' || page_id || '.json' as url from pages where page_id % 2 = 0",
+    "url_manifest": "select regexp_extract(url, '([^/]*)$', 1) as filename, 'https://objects.invalid/pages/' || page_id || '.json' as url from pages",
+    "image_scan_status": f"with {CANVAS} select 'canvas' || image_id as image, cast((max(y) + 1) * 4 as int) as height, 192 as width, 1 as channels, true as ok from canvas group by image_id union all select 'broken', -1, -1, -1, false",
+    "image_slices": f"""with {CANVAS}, img as (select image_id, (max(y) + 1) * 4 as h from canvas group by 1), tall as (select distinct h from img),
+      p as (select h, y, x, (degrees(atan2(cast(y - 100 as double), cast(x - 96 as double))) + 90 + 360) % 360 as a from tall, unnest(generate_series(0, h - 1)) t(y), unnest(generate_series(0, 191)) u(x)),
+      s as (select h, y, x, cast(n as int) as n, least(cast(floor((a - a % (360.0::double / n)) / (360.0::double / n) + 0.5) as int), n - 1) as k from p, unnest(generate_series(3, 30)) v(n)),
+      b as (select h, n, cast(k + 1 as int) as k, min(x) as x0, min(y) as y0, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as hh from s group by h, n, k)
+      select 'canvas' || image_id as image, n as n_slices, k as slice_no, 'processed/' || n || '/canvas' || image_id || '/canvas' || image_id || '_' || k || '.png' as key,
+        cast(x0 as int) as x0, cast(y0 as int) as y0, cast(w as int) as w, cast(hh as int) as h, 'SUCCESS' as status from img join b using (h)""",
     "slow_task_count": "select cast(1000 as bigint) as n, cast(sum(i * 2) as bigint) as total from unnest(generate_series(0, 999)) t(i)",
 }

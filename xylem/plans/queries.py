@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -294,12 +295,21 @@ def pipeline_envelope(spark: SparkSession, d: str) -> DataFrame:
     return sent.select(read.alias("m")).select("m.jobId", "m.clientId", "m.status", F.col("m.data.originalUrl").alias("url"), F.col("m.data.metadata.coordinatesX").alias("x"), "m.error")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in local mode, where it may be unset, one of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or tempfile.mkdtemp()
+    return root.rstrip("/") if "://" in root else f"file://{root.removeprefix('file:').rstrip('/')}"
+
+
 @query
 def stream_parse_available_now(spark: SparkSession, d: str) -> DataFrame:
     """The events as a file stream, parsed and written once through; then read as a table."""
     from xylem.streaming.jobs import run_once
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = _shared(spark)
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     parsed = stream.select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k")
@@ -308,8 +318,7 @@ def stream_parse_available_now(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def url_manifest(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").where("page_id % 2 = 0")
-    return pages.select(C.base_name(F.col("url")).alias("filename"), C.public_url("objects.invalid", F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".json"))).alias("url"))
+    return table(spark, d, "pages").select(C.base_name(F.col("url")).alias("filename"), C.public_url("objects.invalid", F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".json"))).alias("url"))
 
 
 @query
@@ -366,10 +375,10 @@ def image_scan_status(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     from xylem.functions.image import encode_png
-    from xylem.sinks.objects import LocalStore, put_all
+    from xylem.sinks.objects import UriStore, put_all
     from xylem.sources.images import as_array, scan_images
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).removeprefix("file://").rstrip("/") + f"/images-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/images-{uuid.uuid4().hex}"
 
     def encoded(batches):
         for pdf in batches:
@@ -378,5 +387,5 @@ def image_scan_status(spark: SparkSession, d: str) -> DataFrame:
 
     files = _pictures(spark, d).select("image", "height", "width", "channels", "data").mapInPandas(encoded, "key string, content binary")
     broken = spark.sql("select 'broken.png' as key, cast('no picture' as binary) as content")
-    put_all(files.unionAll(broken), LocalStore(root)).where("not ok").count()
-    return scan_images(spark, f"file://{root}").select("image", "height", "width", "channels", "ok")
+    put_all(files.unionAll(broken), UriStore(root)).where("not ok").count()
+    return scan_images(spark, root).select("image", "height", "width", "channels", "ok")

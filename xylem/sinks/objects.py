@@ -1,12 +1,14 @@
 """Writers of objects, tables and manifests.
 
-Objects go through a store: a function of (key, bytes) that runs on the executors. LocalStore writes under a folder that
-all executors mount; write_objects() needs no store, but keeps its rows as Parquet, on any file system that Spark has.
+Objects go through a store: a function of (key, bytes) that runs on the executors. UriStore writes to an object store or
+any other file system with a URI, LocalStore under a folder that all executors mount; write_objects() needs no store, but
+keeps its rows as Parquet, on any file system that Spark has.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -32,6 +34,43 @@ class LocalStore:
         os.replace(partial, path)
 
 
+@dataclass(frozen=True)
+class UriStore:
+    """Objects under a URI (file, s3, gs, hdfs); a key written again is replaced whole.
+
+    options are those of the file system (for s3: access_key, secret_key, endpoint_override, region ...), metadata is
+    kept with each object where the file system has any. Each process opens the file system once.
+    """
+
+    base: str
+    options: tuple[tuple[str, str], ...] = ()
+    metadata: tuple[tuple[str, str], ...] = ()
+
+    def _place(self):
+        from pyarrow import fs
+
+        base = self.base.rstrip("/")
+        if self.options and base.startswith("s3"):
+            return fs.S3FileSystem(**dict(self.options)), base.split("://", 1)[1]
+        return fs.FileSystem.from_uri(base)
+
+    def __call__(self, key: str, data: bytes) -> None:
+        store, root = _OPEN.get(self) or _OPEN.setdefault(self, self._place())
+        path = f"{root}/{key}"
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        if store.type_name != "local":  # an object appears whole when its stream ends
+            with store.open_output_stream(path, metadata=dict(self.metadata) or None) as f:
+                f.write(data)
+            return
+        partial = f"{path}.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(partial) as f:
+            f.write(data)
+        store.move(partial, path)
+
+
+_OPEN: dict = {}
+
+
 def put_all(objects: DataFrame, store: Store, threads: int = 32) -> DataFrame:
     """(key, bytes, ok, error) of (key, content): every object put, by so many threads in each task."""
 
@@ -53,12 +92,14 @@ def put_all(objects: DataFrame, store: Store, threads: int = 32) -> DataFrame:
 
 
 def upload_folder(spark: SparkSession, path: str, prefix: str, store: Store, extension: str | None = None) -> DataFrame:
-    """(key, bytes, ok, error): every file under path, to prefix/name."""
+    """(key, bytes, ok, error): every file under path, to prefix/ and its place under path, so files of one name stay apart."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extension:
         reader = reader.option("pathGlobFilter", f"*.{extension.lstrip('.')}")
-    files = reader.load(path)
-    return put_all(files.select(F.concat(F.lit(prefix.rstrip("/") + "/"), F.regexp_extract("path", "([^/]*)$", 1)).alias("key"), "content"), store)
+    files, place = reader.load(path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/")
+    inner = F.expr("regexp_replace(path, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?', '')")
+    return put_all(files.select(F.concat(F.lit(prefix.rstrip("/")), F.substring(inner, len(root) + 1, 1 << 30)).alias("key"), "content"), store)
 
 
 def manifest(uploaded: DataFrame, domain: str) -> DataFrame:
@@ -67,6 +108,13 @@ def manifest(uploaded: DataFrame, domain: str) -> DataFrame:
     return ok.select(F.regexp_extract("key", "([^/]*)$", 1).alias("filename"), F.concat(F.lit(f"https://{domain}/"), "key").alias("url"))
 
 
+def upload_manifest(uploaded: DataFrame, domain: str, key: str, store: Store) -> DataFrame:
+    """The manifest of what was uploaded, itself an object: JSON lines, in parts key-0, key-1, ... of a task each."""
+    lines = manifest(uploaded, domain).select(F.to_json(F.struct("filename", "url")).alias("line"), F.spark_partition_id().alias("part"))
+    body = lines.groupBy("part").agg(F.concat(F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit("\n")).cast("binary").alias("content"))
+    return put_all(body.select(F.concat(F.lit(f"{key}-"), "part").alias("key"), "content"), store)
+
+
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """CSV with a header; `single` makes one file, which is for small reports."""
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
@@ -82,10 +130,15 @@ def copy_file(spark: SparkSession, path: str, key: str, store: Store) -> DataFra
 
 
 def purge(spark: SparkSession, path: str, confirm: bool = False) -> int:
-    """Deletes all under path and returns how many files that were. Only with confirm=True; never called by a pipeline."""
+    """Deletes all under path and returns how many files that were; what could not be deleted is an error that names it.
+
+    Only with confirm=True; never called by a pipeline.
+    """
     if not confirm:
         raise ValueError("purge() deletes everything under the path: call it with confirm=True")
     n = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").count()
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.delete(p, True) and files.exists(p):
+        raise OSError("not deleted: " + ", ".join(str(s.getPath()) for s in files.listStatus(p)))
     return n

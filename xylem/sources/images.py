@@ -15,8 +15,8 @@ from xylem.functions.image import decode_png
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """(image, path, height, width, channels, data, ok) of the pictures under path; a file that is none has ok false."""
-    i = spark.read.format("image").option("pathGlobFilter", "*.[pP][nN][gG]").load(path).select("image.*")
+    """(image, path, height, width, channels, data, ok) of the PNG and JPEG files under path, decoded in the JVM; a file that is no picture has ok false."""
+    i = spark.read.format("image").option("pathGlobFilter", "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}").load(path).select("image.*")
     name = base_name(F.col("origin"))
     return i.select(stem(name).alias("image"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data", (F.col("height") > 0).alias("ok"))
 
