@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from xylem.llm import contamination, language, minhash, mixing, tokens
-from xylem.llm.common import save
+from xylem.llm.common import discard, save, temporary
 
 #: A text whose likeliest language has a smaller share than this is rejected, as is one without letters.
 LEAST_SHARE = 0.3
@@ -46,9 +46,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents, each one's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else save(out, name.replace(" ", "_").lower())
+    """Applies all stages to documents, each one's result written and read again. A stage's tables are deleted when the next has read them; only the last one's result stays.
+
+    Stages take null, empty and very long texts, null and repeated ids, ties, repeated rows and empty tables as their
+    operators state; all but the last return the columns they were given, and extra ones, whatever their names.
+    """
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with temporary() as made:
+            docs = save(stage(spark, docs, sf_dir), name.replace(" ", "_").replace("/", "_").lower())
+            made.remove(docs)
+        if held is not None:
+            discard(held)
+        held = docs
     return docs

@@ -1,4 +1,5 @@
 import itertools
+import math
 import zlib
 from collections import defaultdict
 
@@ -47,3 +48,33 @@ def test_files_prune(spark, tmp_path):
     spans = read.groupBy("shard").agg({"lang": "count"}).count()
     touched = read.where("lang = 'l1' and source = 's1'").select("shard").distinct().count()
     assert spans == 16 and touched <= 8
+
+
+def test_places_against_brute_force(spark):
+    """Cells from the raw metadata, by loops: string cuts by runs of equal weight, numbers by their quantiles; sources alike in their first letters are parted."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "é" * int(rng.integers(0, 400)) if i % 50 else None, [None, "en", "de", "fr"][int(rng.integers(4))], f"https://host.example/{int(rng.integers(60)):03d}") for i in range(1500)]
+    out = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    n, cells = len(rows), []
+    for k in (2, 3):
+        known = sorted(r[k] for r in rows if r[k] is not None)
+        first = {}
+        for at, v in enumerate(known):
+            if at == 0 or known[at - 1] != v:
+                first.setdefault(at * 31 // len(known), v)
+        cells.append([sum(c <= r[k] for c in first.values()) if r[k] is not None else 0 for r in rows])
+    assert len(set(cells[1])) > 25
+    logs = [math.log2(len((r[1] or "").encode()) + 1) for r in rows]
+    cuts = {sorted(logs)[max(0, math.ceil(k / 32 * n) - 1)] for k in range(1, 32)}
+    cells.append([sum(c < x for c in cuts) for x in logs])
+    want = sharding.hilbert_index(np.array(cells).T, sharding.BITS)
+    assert [r.curve for r in sorted(out, key=lambda r: r.doc_id)] == want.tolist()
+    check(out, [(r[0], r[1]) for r in rows])
+
+
+def test_rows_are_written_as_they_are(spark, odd_docs, tmp_path):
+    docs = odd_docs.selectExpr("*", "7 as shard", "8 as slot", "9 as Shard_")
+    name = sharding.write_shards(docs, str(tmp_path / "out"))
+    read = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "shard__" and read.columns == [*docs.columns, name]
+    assert sorted(map(str, read.drop(name).collect())) == sorted(map(str, docs.collect()))

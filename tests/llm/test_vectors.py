@@ -62,3 +62,15 @@ def test_odd_rows(spark):
     for r in out:
         assert (r.n_links, r.component_id) == want.get(r.vec_id, (0, r.vec_id)) and r.kept == (r.vec_id == r.component_id or r.vec_id is None)
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_large_and_small_vectors_and_borderline_pairs():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((30, 8))
+    for factor in (1e155, 1e-170, 1e300, 3e-308):
+        assert vectors.linked(vectors.scaled(x * factor), vectors.scaled(x)).diagonal().all()
+    base = np.zeros((1, 8))
+    base[0, 0] = 1
+    near = np.array([[0.98, math.sqrt(1 - 0.98**2) + k * 1e-16, *[0.0] * 6] for k in range(-40, 41)])
+    one = vectors.pair_cosines(np.repeat(base, len(near), axis=0), near) >= vectors.LEAST_COSINE
+    assert 0 < one.sum() < len(near) and (vectors.linked(base, near)[0] == one).all() and (vectors.linked(near, base)[:, 0] == one).all()

@@ -37,9 +37,27 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    for held in _HELD:
+        held.append(out)
     return out
 
 
+_HELD: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """Tables that save() makes within are deleted at the end, but for those that the caller takes out of the list it is given."""
+    made: list[DataFrame] = []
+    _HELD.append(made)
+    try:
+        yield made
+    finally:
+        _HELD.remove(made)
+        for table in made:
+            discard(table)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that save() made and that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

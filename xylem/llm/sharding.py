@@ -1,6 +1,6 @@
 """Shards along a Hilbert curve through the documents' metadata.
 
-Each dimension (a number, or the first bytes of a string) is cut at its own quantiles into 2^BITS cells; a cell's place
+Each dimension (a number or a string) is cut at its own quantiles into 2^BITS cells; a cell's place
 on the Hilbert curve, then the text's hash and the id, is the order. Runs of that order make the shards, so a shard's
 files span short ranges in every dimension at once and their minima and maxima prune; equal texts of equal metadata
 lie side by side. No key is gathered: the order is a range partitioning that also cuts by id.
@@ -11,9 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from xylem.llm.common import discard, save
+from xylem.llm.common import Scratch, discard, fresh, save
 
 BITS = 5
 SHARDS = 16
@@ -44,38 +45,58 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(c: Column, kind: str) -> Column:
-    """Numbers as doubles; strings by their first six bytes, in code point order; null below all."""
-    if kind == "string":
-        c = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.coalesce(c.cast("double"), F.lit(-1.0))
+def as_number(c: Column) -> Column:
+    """A number as double; null below all."""
+    return F.coalesce(c.cast("double"), F.lit(-float("inf")))
 
 
-def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """One row per row of docs: id_col, size, text_crc32, law, shard, slot, curve.
+def string_cuts(rows: DataFrame, name: str, cells: int) -> list[str]:
+    """The first value of each of about `cells` runs of equal weight of a string column, in code point order; nulls are left out.
 
-    size is the text's UTF-8 bytes (null: none) plus 1 and is a dimension too, by its logarithm. Law `rows`: the
-    counts of the shards are one apart at most; slots of a shard go from 0 without a gap. A null dimension is a value
-    below all. Repeated rows have places of their own. An empty table gives an empty result.
+    Values are counted, then ordered by a range partitioning; one sum a partition and one value a run come to the driver.
     """
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
+    placed = save(placed.withColumn("upto", F.sum("n").over(W.partitionBy("part").orderBy("v"))), "values")
+    total, before = 0, [(-1, 0)]
+    for part, n in sorted((r.part, r["upto"]) for r in placed.groupBy("part").agg(F.max("upto").alias("upto")).collect()):
+        before.append((part, total))
+        total += n
+    starts = rows.sparkSession.createDataFrame(before, "part int, before long")
+    cell = F.expr(f"((before + upto - n) * {cells}L) div {max(total, 1)}L")
+    cuts = sorted(r.v for r in placed.join(F.broadcast(starts), "part").groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).collect())
+    discard(placed)
+    return cuts
+
+
+def _placed(docs: DataFrame, dims: tuple[str, ...], id_col: str, text_col: str, shards: int, key: Column) -> DataFrame:
+    """(id, key, size, crc, curve, shard, slot) of each row."""
     kinds = dict(docs.dtypes)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    numbers = [as_number(F.col(c), kinds[c]) for c in dims] + [F.log2(size)]
-    slim = save(docs.select(F.col(id_col).cast("long").alias("id"), size.alias("size"), crc.alias("crc"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)]), "sizes")
+    values = [F.col(c) if kinds[c] == "string" else as_number(F.col(c)) for c in dims] + [F.log2(size)]
+    slim = save(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), size.alias("size"), crc.alias("crc"), *[x.alias(f"x{i}") for i, x in enumerate(values)]), "sizes")
+    texts = [i for i, c in enumerate(dims) if kinds[c] == "string"]
+    numbers = [i for i in range(len(values)) if i not in texts]
     share = F.array(*[F.lit(k / (1 << BITS)) for k in range(1, 1 << BITS)])
-    cuts = slim.agg(*[F.percentile_approx(f"x{i}", share, 10_000).alias(f"x{i}") for i in range(len(numbers))]).first()
+    found = slim.agg(*[F.percentile_approx(f"x{i}", share, 10_000).alias(f"x{i}") for i in numbers]).first()
+    cuts = {i: sorted(set(found[f"x{i}"] or [])) for i in numbers} | {i: string_cuts(slim, f"x{i}", (1 << BITS) - 1) for i in texts}
 
     @F.pandas_udf("long")
     def curve(cells: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(cells.to_numpy(), BITS))
 
     def cell(i: int) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[i] or [])))), lambda c: c < F.col(f"x{i}"))) if cuts[i] else F.lit(0)
+        """How many cuts are below a number, or not above a string (null: none)."""
+        if not cuts[i]:
+            return F.lit(0)
+        known = F.array(*map(F.lit, cuts[i]))
+        return F.size(F.filter(known, (lambda c: F.coalesce(c <= F.col(f"x{i}"), F.lit(False))) if i in texts else (lambda c: c < F.col(f"x{i}"))))
 
-    keyed = slim.withColumn("curve", curve(F.struct(*[cell(i).alias(f"c{i}") for i in range(len(numbers))]))).select("id", "size", "crc", "curve")
+    keyed = slim.withColumn("curve", curve(F.struct(*[cell(i).alias(f"c{i}") for i in range(len(values))]))).select("id", "key", "size", "crc", "curve")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["curve", "crc", "id", "size"]
+    order = ["curve", "crc", "id", "size", "key"]
     placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = save(placed, "placed")
     discard(slim)
@@ -89,12 +110,32 @@ def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source"),
     out = placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("before") + F.col("nth"))
     # shard s begins at ceil(s * total / shards)
     out = out.withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}").cast("int"))
-    out = out.withColumn("slot", F.col("rank") - F.expr(f"(shard * bigint({total}) + {shards - 1}) div {shards}"))
+    return out.withColumn("slot", F.col("rank") - F.expr(f"(shard * bigint({total}) + {shards - 1}) div {shards}")).select("id", "key", "size", "crc", "curve", "shard", "slot")
+
+
+def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """One row per row of docs: id_col, size, text_crc32, law, shard, slot, grown_shard (null), curve.
+
+    size is the whole text's UTF-8 bytes (null or empty: none) plus 1 and is a dimension too, by its logarithm; dims are
+    columns of numbers or strings. Law `rows`: the counts of the shards are one apart at most; slots of a shard go from 0
+    without a gap. A null dimension is a value below all. Repeated rows, null ids and ties have places of their own; ids
+    must be numbers or texts of numbers. An empty table gives an empty result. Other columns are not read, so their
+    names don't matter.
+    """
+    out = _placed(docs, dims, id_col, text_col, shards, F.lit(0).cast("long"))
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> None:
-    """Writes docs as Parquet folders shard=0.., each in curve order. Needs unique, non-null ids."""
-    places = hilbert_shards(docs, dims, id_col, text_col, shards).select(F.col(id_col).alias("__id"), "shard", "slot")
-    rows = docs.drop("shard", "slot").join(places, docs[id_col].cast("long") == F.col("__id")).drop("__id")
-    rows.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> str:
+    """Writes docs as Parquet folders, one a shard, each in curve order, and returns the folders' column: `shard`, or that with _ where docs has one.
+
+    Each row goes by a key of its own, so null and repeated ids are written as they are, with all columns of docs.
+    """
+    scratch = Scratch()
+    key, shard, slot = fresh(docs, "key"), fresh(docs, "shard"), fresh(docs, "slot")
+    rows = scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "shard_rows")
+    places = _placed(rows, dims, id_col, text_col, shards, F.col(key)).select(F.col("key").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out = rows.join(places, key).repartitionByRange(shards * 4, shard, slot).sortWithinPartitions(shard, slot)
+    out.select(*docs.columns, shard).write.partitionBy(shard).parquet(path)
+    scratch.clear()
+    return shard

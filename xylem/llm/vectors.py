@@ -77,9 +77,27 @@ def _keys_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column("id").to_pylist(), np.int64), TABLES)), pa.array(keys)], ["id", "key"]) if n else pa.RecordBatch.from_pylist([], pa.schema([("id", pa.int64()), ("key", pa.int64())]))
 
 
-def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    size = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x))
-    return (left @ right.T) / size(left)[:, None] / size(right)[None, :]
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: exact, and no square overflows or vanishes."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def pair_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x with that of y, in double precision: what a link is decided by."""
+    return (x * y).sum(axis=1) / (lengths(x) * lengths(y))
+
+
+def linked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows are linked, as a matrix; what the product leaves within rounding is decided pair by pair."""
+    c = (left @ right.T) / (lengths(left)[:, None] * lengths(right)[None, :])
+    out = c >= LEAST_COSINE
+    i, j = np.nonzero(np.abs(c - LEAST_COSINE) < 1e-9)
+    out[i, j] = pair_cosines(left[i], right[j]) >= LEAST_COSINE
+    return out
 
 
 def _components_of(link: np.ndarray) -> np.ndarray:
@@ -98,7 +116,7 @@ def _components_of(link: np.ndarray) -> np.ndarray:
 
 def _dense(raw, keys, copies, ids, one, two, table, found, edges) -> None:
     """A large group: all cosines of rows `one` with rows `two` (the same rows, or others) as a matrix."""
-    link = cosines(raw[one], raw[two]) >= LEAST_COSINE
+    link = linked(raw[one], raw[two])
     link &= ids[one][:, None] != ids[two][None, :]
     for t in range(table):
         link &= keys[one][:, t, None] != keys[two][None, :, t]
@@ -119,9 +137,7 @@ def _sparse(raw, keys, copies, ids, a, b, table, found, edges) -> None:
     """Pairs of rows of small groups, and the table of each."""
     first = (keys[a] == keys[b]).argmax(axis=1) == table
     a, b = a[first], b[first]
-    x, y = raw[a], raw[b]
-    length = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
-    near = (np.einsum("ij,ij->i", x, y) / length[0] / length[1] >= LEAST_COSINE) & (ids[a] != ids[b])
+    near = (pair_cosines(raw[a], raw[b]) >= LEAST_COSINE) & (ids[a] != ids[b])
     a, b = a[near], b[near]
     np.add.at(found, a, copies[b])
     np.add.at(found, b, copies[a])
@@ -137,7 +153,7 @@ def _met(batch: pa.RecordBatch) -> pa.RecordBatch:
     keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(len(ids), TABLES)
     values = batch.column("raw").to_pylist()
     width = max(map(len, values))  # vectors of other lengths never share a group
-    raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.float64).reshape(len(ids), -1)
+    raw = scaled(np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.float64).reshape(len(ids), -1))
     starts, ends = group_starts(key, low, high)
     table = (keys[starts] == key[starts, None]).argmax(axis=1)
     large = ends - starts > SMALL
@@ -164,8 +180,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Links join rows of equal, non-null label and length whose cosine in double precision is 0.98 or more. A vector
     that is null, empty, zero or holds a null or non-finite component has no link, and so has one without an id (its
-    component is null, kept true). Equal vectors form a class, so a hot vector costs as much as a rare one. Rows that
-    share an id but differ otherwise count as one node. Other columns are neither read nor returned.
+    component is null, kept true). Equal vectors form a class, so a hot vector costs as much as a rare one; they and
+    repeated rows are linked to each other, and of ties the smallest id names a component. Rows that share an id but
+    differ otherwise count as one node. Ids must be numbers or texts of numbers. An empty table gives an empty result.
+    Other columns are neither read nor returned, so their names don't matter.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     scratch = Scratch()
