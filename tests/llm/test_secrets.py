@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from xylem.llm import secrets
 
@@ -73,6 +74,91 @@ def test_random_letters_stand_out():
     assert [x for x in calm if found(x)] == []
 
 
+def naive_random(text, encode):
+    """Random spans by loops over characters: runs, their judgement whole or by pieces and windows, hits that overlap merged."""
+    letters, digits = string.ascii_letters, string.digits
+    plain = lambda x: all(c in letters + digits for c in x)
+    is_hex = lambda x: bool(x) and all(c in "0123456789abcdefABCDEF" for c in x)
+    uuid = lambda x: [len(p) for p in x.split("-")] == [8, 4, 4, 4, 12] and all(map(is_hex, x.split("-")))
+    digest = lambda x: is_hex(x) and len(x) in (32, 40, 56, 64, 96, 128)
+
+    def words(x):
+        tail = 0
+        while tail < 4 and tail < len(x) and x[len(x) - 1 - tail] in digits:
+            tail += 1
+        for cut in range(tail + 1):
+            body = x[: len(x) - cut]
+            if any(c in digits for c in body):
+                continue
+            parts, part = [], ""
+            for c in body + "-":
+                if c in "-_/=+":
+                    parts, part = [*parts, part], ""
+                else:
+                    part += c
+            one_case = lambda p: p[1:] == p[1:].lower() or p == p.upper()
+            return all(len(p) < 16 and one_case(p) or len(p) >= secrets.CHARS_PER_TOKEN * len(encode(p)) for p in parts if p)
+        return False
+
+    def odd(x):
+        if digest(x) or uuid(x) or not any(c in letters for c in x) or (not any(c in digits for c in x) and x[1:].islower()):
+            return False
+        return len(x) < secrets.CHARS_PER_TOKEN * len(encode(x)) and not words(x)
+
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and (text[j] in letters + digits + "+/_=-"):
+            j += 1
+        a, b = i, j
+        while a < b and text[a] in "=/+-_":
+            a += 1
+        while b > a and text[b - 1] in "=/+-_":
+            b -= 1
+        run, i = text[a:b], max(j, i + 1)
+        if j - a < 16 or b - a < 16 or digest(run) or uuid(run) or not any(c in letters for c in run):
+            continue
+        if len(run) <= 256 and odd(run):
+            out.append((a, b))
+            continue
+        known = [(p, q) for p in range(len(run)) for q in {p + n for n in (32, 36, 40, 56, 64, 96, 128)} if q <= len(run) and (digest(run[p:q]) or uuid(run[p:q])) and (p == 0 or not plain(run[p - 1])) and (q == len(run) or not plain(run[q]))]
+        spans, p = [], 0
+        while p < len(run):
+            q = p
+            while q < len(run) and plain(run[q]):
+                q += 1
+            spans, p = spans + [(p, q)] * (16 <= q - p <= 256), max(q, p + 1)
+        if len(run) > 64:
+            spans += [(k, k + 64) for k in sorted({*range(0, len(run) - 64, 32), len(run) - 64}) if not any(x < k + 64 and k < y for x, y in known)]
+        covered = sorted((a + p, a + q) for p, q in spans if odd(run[p:q]))
+        merged = []
+        for p, q in covered:
+            if merged and p < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(q, merged[-1][1]))
+            else:
+                merged.append((p, q))
+        out += merged
+    return [("random", a, b) for a, b in out]
+
+
+def test_random_spans_against_brute_force():
+    encode = secrets.encoding(secrets.VOCABULARY).encode_ordinary
+    rng = random.Random(12)
+    noise = lambda n, alphabet=string.ascii_letters + string.digits: "".join(rng.choices(alphabet, k=n))
+    makers = [lambda: noise(rng.randrange(1, 40)), lambda: noise(rng.randrange(1, 30), string.ascii_letters), lambda: noise(rng.randrange(200, 400)), lambda: "internationalization", lambda: "getElementById", lambda: hashlib.md5(noise(3).encode()).hexdigest(), lambda: "550e8400-e29b-41d4-a716-446655440000", lambda: noise(rng.randrange(1, 30), string.digits)]
+    for _ in range(600):
+        text = "".join(rng.choice(makers)() + rng.choice([" ", "-", "_", "/", "=", "+", ".", "--", "é", ""]) for _ in range(rng.randrange(1, 9)))
+        assert secrets.random_spans(text, [], encode) == naive_random(text, encode), text
+
+
+def test_long_runs_of_joiners_take_no_time():
+    encode = secrets.encoding(secrets.VOCABULARY).encode_ordinary
+    for text in ["section" + "-" * n + "1a" for n in (20, 256, 10_000)] + ["foo" + "_" * n + "12345" for n in (24, 256, 10_000)] + ["a-" * 5000 + "9Z", "a=/+" * 2500 + "!", "x" * 10_000, "aB3" * 3334, "0" * 10_000 + "g"]:
+        began = time.process_time()
+        secrets.random_spans(text, secrets.base_spans(text), encode)
+        assert time.process_time() - began < 0.1, text[:40]
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = secrets.find_secrets(odd_docs).collect()
     assert len(out) == 13 and not any(r.found for r in out) and secrets.find_secrets(no_docs).collect() == []

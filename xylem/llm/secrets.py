@@ -122,7 +122,11 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """id_col and found, an array of (kind, start, end, secret) by start and kind, for each row of docs. A null text is empty and has none."""
+    """id_col and found, an array of (kind, start, end, secret) by start and kind, for each row of docs. A null text is empty and has none.
+
+    Texts of any length are searched whole; repeated rows, ties and null ids (of any type) are each a row of the result,
+    and an empty table gives an empty one. Other columns are not read, so their names don't matter.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lean(_scanned(vocabulary)), f"id {kind}, found array<struct<kind:string,start:bigint,end:bigint,secret:string>>").withColumnRenamed("id", id_col)

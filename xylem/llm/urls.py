@@ -2,8 +2,9 @@
 
 Dated list entries (a key is added to a list, or removed from it) become validity intervals; every capture is judged by
 the intervals that hold at its fetch time. A key is a domain, which covers its subdomains, or a host with the first
-segment of a path. The join is on the key, salted on both sides so that a host with a third of all captures is met in
-many tasks, with the time as a further condition; what matches is summed up by capture.
+segment of a path. The join is on the key, with the time as a further condition; what matches is summed up by capture.
+A key that many captures have is salted on both sides, the more the larger its share, so that a host with a third of all
+captures is met in a third of all tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALT = 16
+#: A key with more than so small a part of a task's even share of the captures' keys is split.
+SPLIT = 4
 
 
 def host_of(url: Column) -> Column:
@@ -45,11 +47,18 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     """One row per row of captures: id_col, host, time_col, blocked (0/1), n_entries, list, key, valid_from.
 
     list, key and valid_from are of the longest matching key (ties: the last in order). A capture without a host or
-    time, or beside empty lists, is not blocked. Repeated rows are judged each. Other columns are not read.
+    time, with a null or empty url, or beside empty lists, is not blocked. Repeated rows and null ids are judged each, URLs
+    of any length whole. An empty table gives an empty result. Other columns are not read, so their names don't matter.
     """
     rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("time"))
-    spread = rows.select("row", "id", host_of(F.col("url")).alias("host"), "time", F.explode_outer(keys_of(F.col("url"))).alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
-    valid = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    spread = rows.select("row", "id", host_of(F.col("url")).alias("host"), "time", F.explode_outer(keys_of(F.col("url"))).alias("key"))
+    counts = spread.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    share = (counts.agg(F.sum("n")).first()[0] or 0) / (SPLIT * int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Fewer keys than SPLIT times the tasks hold more than that share, so these may be sent to all.
+    hot = F.broadcast(counts.where(F.col("n") > share).select(F.col("key").alias("hot"), F.ceil(F.col("n") / max(share, 1.0)).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    spread = spread.join(hot, F.col("key") == F.col("hot"), "left").select("row", "id", "host", "time", "key", F.pmod(F.xxhash64("row"), salts).alias("salt"))
+    valid = intervals(entries).join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     valid = valid.select(F.col("key").alias("listed_key"), F.col("salt").alias("listed_salt"), "list", "valid_from", "valid_to")
     on = (F.col("key") == F.col("listed_key")) & (F.col("salt") == F.col("listed_salt")) & (F.col("valid_from") <= F.col("time")) & (F.col("valid_to").isNull() | (F.col("time") < F.col("valid_to")))
     met = spread.join(valid, on, "left")
