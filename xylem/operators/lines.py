@@ -32,6 +32,20 @@ def per_image(lines: DataFrame, *aggregates: Column) -> DataFrame:
     return lines.join(lines.groupBy("image_id").agg(*aggregates), "image_id")
 
 
+def whole_images(lines: DataFrame, kernel) -> DataFrame:
+    """Lines of what a numpy kernel makes of each image as one array (height x width of doubles, no line missing)."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("y")
+        out = np.asarray(kernel(np.stack(pdf["g"].to_list()))).astype(np.float64)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": np.arange(len(out), dtype=np.int32), "g": list(out)})
+
+    return lines.groupBy("image_id").applyInPandas(run, "image_id long, y int, g array<double>")
+
+
 def minmax(lines: DataFrame, top: int = 255) -> DataFrame:
     """Each image stretched to 0..top, whole numbers (truncated); a flat image is 0."""
     held = per_image(lines, F.min(F.array_min("g")).alias("__lo"), F.max(F.array_max("g")).alias("__hi"))

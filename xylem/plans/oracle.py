@@ -135,5 +135,25 @@ SQL = {
       b as (select h, n, cast(k + 1 as int) as k, min(x) as x0, min(y) as y0, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as hh from s group by h, n, k)
       select 'canvas' || image_id as image, n as n_slices, k as slice_no, 'processed/' || n || '/canvas' || image_id || '/canvas' || image_id || '_' || k || '.png' as key,
         cast(x0 as int) as x0, cast(y0 as int) as y0, cast(w as int) as w, cast(hh as int) as h, 'SUCCESS' as status from img join b using (h)""",
+    "kernel_erode": f"""with {CANVAS}, m as (select image_id, y, x, cast(g > 127 as double) as g from canvas)
+      select a.image_id, a.y, a.x, min(b.g) as g from m a join m b on a.image_id = b.image_id and abs(a.y - b.y) + abs(a.x - b.x) <= 1 group by 1, 2, 3""",
+    "kernel_dilate": f"""with {CANVAS}, m as (select image_id, y, x, cast(g > 127 as double) as g from canvas)
+      select a.image_id, a.y, a.x, max(b.g) as g from m a join m b on a.image_id = b.image_id and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by 1, 2, 3""",
+    "kernel_blur": f"""with {CANVAS}, n as (select image_id, max(x) as mx, max(y) as my from canvas group by 1), k as (select d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) over () as w from unnest(generate_series(-2, 2)) t(d)),
+      t as (select c.image_id, c.y, c.x, a.w * b.w as w, case when c.y + a.d < 0 then -(c.y + a.d) when c.y + a.d > my then 2 * my - c.y - a.d else c.y + a.d end as ty,
+        case when c.x + b.d < 0 then -(c.x + b.d) when c.x + b.d > mx then 2 * mx - c.x - b.d else c.x + b.d end as tx from canvas c join n using (image_id) cross join k a cross join k b)
+      select t.image_id, t.y, t.x, round_even(round(sum(t.w * q.g), 9), 0) as g from t join canvas q on q.image_id = t.image_id and q.y = t.ty and q.x = t.tx group by 1, 2, 3""",
+    "kernel_gradient": f"""with {CANVAS}, {conv("canvas", "-1 0 1;-2 0 2;-1 0 1", "gx")}, {conv("canvas", "-1 -2 -1;0 0 0;1 2 1", "gy")}
+      select gx.image_id, gx.y, gx.x, round(sqrt(gx.g * gx.g + gy.g * gy.g), 6) as g from gx join gy using (image_id, y, x)""",
+    "kernel_resize": f"""with {CANVAS}, n as (select image_id, (max(y) + 1) // 2 as h from canvas group by 1)
+      select c.image_id, cast(c.y // 2 as int) as y, cast(c.x // 2 as int) as x, round_even(avg(g), 0) as g from canvas c join n using (image_id) where c.y // 2 < h group by 1, 2, 3""",
+    "kernel_luma": f"with {CANVAS} select image_id, y, x, round_even(round(0.299 * ((g * 13) % 256) + 0.587 * ((g * 7) % 256) + 0.114 * g, 9), 0) as g from canvas",
+    "kernel_peaks": f"""with {PEAKS}, l as (select k.image_id, k.r, k.v, coalesce((select max(p.r) + 1 from profile p where p.image_id = k.image_id and p.r < k.r and p.v > k.v), 0) as a,
+        coalesce((select min(p.r) - 1 from profile p where p.image_id = k.image_id and p.r > k.r and p.v > k.v), 100000) as b from peaks k)
+      select l.image_id, l.r from l join profile p on p.image_id = l.image_id and p.r between l.a and l.b group by l.image_id, l.r, l.v
+      having l.v - greatest(min(case when p.r <= l.r then p.v end), min(case when p.r >= l.r then p.v end)) >= 1.5""",
+    "side_tables": """select 'img' || c_custkey as image, c_custkey % 61 + 0.25::double as x, c_custkey % 97 + 0.5::double as y, case when c_custkey % 5 <> 0 then cast(c_custkey % 40 as int) end as rings_count,
+      case when c_custkey % 7 <> 0 then cast(c_custkey % 50 as int) end as centre_x, case when c_custkey % 7 <> 0 then cast(c_custkey % 30 as int) end as centre_y from customer""",
+    "object_uploads": "select 'copies/' || n_regionkey || '/' || n_nationkey || '.txt' as key, cast(octet_length(encode(n_name)) as bigint) as bytes, true as ok from nation",
     "slow_task_count": "select cast(1000 as bigint) as n, cast(sum(i * 2) as bigint) as total from unnest(generate_series(0, 999)) t(i)",
 }

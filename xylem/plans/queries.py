@@ -389,3 +389,97 @@ def image_scan_status(spark: SparkSession, d: str) -> DataFrame:
     broken = spark.sql("select 'broken.png' as key, cast('no picture' as binary) as content")
     put_all(files.unionAll(broken), UriStore(root)).where("not ok").count()
     return scan_images(spark, root).select("image", "height", "width", "channels", "ok")
+
+
+def _kernel(spark: SparkSession, d: str, kernel) -> DataFrame:
+    return L.pixels(L.whole_images(canvas(spark, d), kernel))
+
+
+@query
+def kernel_erode(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.functions import image as I  # noqa: N812
+
+    return _kernel(spark, d, lambda g: I.erode(g > 127, I.ellipse_offsets(3)))
+
+
+@query
+def kernel_dilate(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.functions import image as I  # noqa: N812
+
+    return _kernel(spark, d, lambda g: I.dilate(g > 127, 2))
+
+
+@query
+def kernel_blur(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.functions import image as I  # noqa: N812
+
+    return _kernel(spark, d, lambda g: I.blur(g.astype("uint8"), 5, 1.0))
+
+
+@query
+def kernel_gradient(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.functions import image as I  # noqa: N812
+
+    return rounded(_kernel(spark, d, lambda g: I.gradient(g, "edge")), "g")
+
+
+@query
+def kernel_resize(spark: SparkSession, d: str) -> DataFrame:
+    from xylem.functions import image as I  # noqa: N812
+
+    return _kernel(spark, d, lambda g: I.resize(g.astype("uint8"), len(g) // 2, g.shape[1] // 2))
+
+
+@query
+def kernel_luma(spark: SparkSession, d: str) -> DataFrame:
+    """Grey of a colour image whose green and red are made from its blue."""
+    import numpy as np
+
+    from xylem.functions import image as I  # noqa: N812
+
+    return _kernel(spark, d, lambda g: I.grey(np.stack([g, g * 7 % 256, g * 13 % 256], axis=2).astype("uint8")))
+
+
+@query
+def kernel_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Local maxima of each series that stand out by 1.5 at least."""
+    import pandas as pd
+
+    from xylem.functions import image as I  # noqa: N812
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        return pdf.iloc[I.peaks(pdf["v"].to_numpy(), prominence=1.5)][["image_id", "r"]]
+
+    return profile(spark, d).groupBy("image_id").applyInPandas(run, "image_id long, r int")
+
+
+@query
+def side_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Pith, ring-count and centre CSV files, written from customers and read again, met by image."""
+    import uuid
+
+    from xylem.sinks.objects import write_csv
+    from xylem.sources.images import read_centres, read_pith, read_ring_counts
+
+    root, k = f"{_shared(spark)}/side-{uuid.uuid4().hex}", F.col("c_custkey")
+    rows, image = table(spark, d, "customer"), F.concat(F.lit("img"), k)
+    write_csv(rows.select(image.alias("Image"), (k % 97 + 0.5).alias("cx"), (k % 61 + 0.25).alias("cy")), f"{root}/pith")
+    write_csv(rows.where("c_custkey % 5 <> 0").select(image.alias("image_code"), (k % 40).alias("rings_count")), f"{root}/counts")
+    write_csv(rows.where("c_custkey % 7 <> 0").select(image.alias("codigo_imagen"), (k % 50).alias("x"), (k % 30).alias("y")), f"{root}/centres")
+    centres = read_centres(spark, f"{root}/centres").select("image", F.col("x").alias("centre_x"), F.col("y").alias("centre_y"))
+    return read_pith(spark, f"{root}/pith").join(read_ring_counts(spark, f"{root}/counts"), "image", "left").join(centres, "image", "left")
+
+
+@query
+def object_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as objects, uploaded from a folder to another place under the store, listed there."""
+    import uuid
+
+    from xylem.sinks.objects import UriStore, put_all, upload_folder
+
+    root = f"{_shared(spark)}/objects-{uuid.uuid4().hex}"
+    rows = table(spark, d, "nation")
+    made = rows.select(F.concat(F.lit("in/"), F.col("n_regionkey"), F.lit("/"), F.col("n_nationkey"), F.lit(".txt")).alias("key"), F.col("n_name").cast("binary").alias("content"))
+    put_all(made, UriStore(root)).where("not ok").count()
+    return upload_folder(spark, f"{root}/in", "copies", UriStore(root), "txt").select("key", "bytes", "ok")
