@@ -14,28 +14,38 @@ LEAST_SHARE = 0.3
 LEAST_KNOWN = 0.43
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds what goes to and from Python at once to 4 MB a task, since texts may be long and several tasks share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach."""
+    small_batches(spark)
     return language.in_known_language(docs, language.fit(docs), LEAST_SHARE, LEAST_KNOWN)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
+    small_batches(spark)
     return minhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return contamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight takes it."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, packed."""
+    small_batches(spark)
     return tokens.packed_tokens(docs)
 
 

@@ -18,6 +18,7 @@ def _fold(k: int) -> Column:
 
 
 def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document; labels of the fold 1 are held out. Nulls and ties as in toxicity.fit and score; a null id is not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(_fold(3) != 1))
     scored = toxicity.score(docs, model)
@@ -51,6 +52,7 @@ def _list_entries(captures: DataFrame) -> DataFrame:
 
 
 def op2_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the lists that hold on its day (see urls.judge for nulls, ties and empty tables)."""
     captures = _captures(spark, sf_dir)
     return urls.judge(captures, _list_entries(captures))
 
@@ -84,36 +86,44 @@ from captures c left join (select * from best where nth = 1) b using (rowid_)
 
 
 def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its place and edits (see contamination.contaminated)."""
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, packed in matrices (see tokens.packed_tokens and MATRIX)."""
     return tokens.packed_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op5_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, hash and spans of each document's secrets (see secrets.find_secrets); a null text is empty."""
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document along the curve (see sharding.hilbert_shards)."""
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
 def op7_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector (see vectors.near_vectors)."""
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document; texts of the fold 2 teach nothing. Nulls and ties as in language.identify; a null id is not held out."""
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs.where(_fold(4) != 2)))
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept of each document (see minhash.near_duplicates)."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken of each document (see mixing.mix)."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
