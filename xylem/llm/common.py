@@ -94,6 +94,22 @@ class Scratch:
         return out
 
 
+#: A class with more rows than a so small part of a task's even share is met where its rows are.
+SPLIT = 4
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what classes (keys, copies, ...) says of their keys, or nulls.
+
+    Classes of very many copies, fewer than SPLIT times the tasks, go out to all rows, so that no task gathers one;
+    the others meet their rows by key.
+    """
+    share = (classes.agg(F.sum("copies")).first()[0] or 0) / (SPLIT * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(classes.where(F.col("copies") > share))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(classes.where(F.col("copies") <= share), keys, "left")
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of longs -> (node, component), the smallest node reachable.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, fresh, group_starts, lean, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, word_hashes
+from xylem.llm.common import Forest, Powers, Scratch, blocked, chunks, connected_components, fresh, group_starts, lean, mix64, parts, shingle_hashes, small_pairs, text_bytes, whole_groups, with_class, word_hashes
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -34,8 +34,6 @@ BLOCK, BLOCK_BYTES = 256, 16 << 20
 PER_HUB = 256
 #: Buckets of no more rows are compared pair by pair, many at once; so many pairs at a time.
 SMALL, PAIRS = 48, 1 << 17
-#: Copies of a class row, so that a large class's documents meet it in as many tasks.
-SALT = 16
 
 _RNG = np.random.default_rng(77)
 MULTIPLY = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -219,9 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Classes of equal sets. Lone classes need no row: their documents stand for themselves.
     classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where("copies > 1")
-    salted = classes.select("f1", "f2", "n", "class", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    member = rows.select("id", "n", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
-    member = scratch.save(member.join(salted, ["f1", "f2", "n", "salt"], "left").select("id", "n", F.coalesce("class", "id").alias("class")), "members")
+    member = with_class(rows.select("id", "n", "f1", "f2"), scratch.save(classes, "classes"), ["f1", "f2", "n"])
+    member = scratch.save(member.select("id", "n", F.coalesce("class", "id").alias("class")), "members")
     reps = known.join(member.where("n > 0 and id <> class").select("id").distinct(), "id", "left_anti")
 
     # Buckets with two classes at least.
@@ -241,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = entries.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_rows = scratch.save(placed.join(mixed, "key"), "open")
-    near = blocked(open_rows.join(sig, "id"), ["key"], 8 * BLOCK).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("side").cast("long").alias("side"), "comp", "id", "sig")
+    near = blocked(open_rows.join(sig, "id"), ["key"], 2 * BLOCK).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("side").cast("long").alias("side"), "comp", "id", "sig")
     near = scratch.save(near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(lean(_near), "a long, b long"), "near")
     groups = connected_components(near.where("b is not null"), scratch)
     waiting = open_rows.join(near.where("b is null").select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "comp").distinct()

@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Forest, Scratch, blocked, connected_components, group_starts, lean, mix64, small_pairs, whole_groups
-from xylem.llm.minhash import SALT
+from xylem.llm.common import Forest, Scratch, blocked, connected_components, group_starts, lean, mix64, small_pairs, whole_groups, with_class
 
 LEAST_COSINE = 0.98
 TABLES, PROJECTIONS, WIDTH = 28, 12, 1.5
 #: Vectors of one block; a task compares two blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Groups of no more rows are compared pair by pair, many groups at once; so many pairs at a time.
 SMALL, PAIRS = 48, 1 << 16
 SEED = 4242
@@ -190,9 +189,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = scratch.save(source.mapInArrow(lean(_prepared), "id long, fp binary, raw binary, keys binary"), "vectors")
     known = rows.where("fp is not null")
     classes = known.groupBy("fp").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    salted = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    member = rows.select("id", "fp", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
-    member = scratch.save(member.join(salted, ["fp", "salt"], "left").select("id", F.coalesce("class", "id").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
+    member = with_class(rows.select("id", "fp"), scratch.save(classes.where("copies > 1"), "classes"), ["fp"])
+    member = scratch.save(member.select("id", F.coalesce("class", "id").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
     reps = known.join(member.where("id <> class").select("id").distinct(), "id", "left_anti")
     sizes = member.groupBy(F.col("class").alias("id")).agg(F.max("copies").alias("copies"))
 
