@@ -14,7 +14,6 @@ come first, paired with all its others as one. So a source misses its target by
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from xylem.llm.common import Scratch, fresh, save
@@ -37,23 +36,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def targets(sizes: DataFrame, total_share: float = 1.0) -> DataFrame:
-    """(source, source_size, n) -> with target. The windows hold one row per source.
+def targets(sizes: DataFrame, total_share: float, scratch: Scratch) -> DataFrame:
+    """(source, source_size, n) -> with target, one row per source, however many there are.
 
-    Each source's weight goes by its place (code points, null last). Filled like water: a level times the weight,
-    but MOST_COPIES times its size at most; sources are capped in the order of size by weight.
+    Each source's weight goes by its place (code points, null last), which a range partitioning gives. Filled like water:
+    a level times the weight, but MOST_COPIES times its size at most. The level rises step by step: what sources below it
+    cannot take is shared by the weights of the others, until no more of them are filled. Only sums come to the driver.
     """
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place - 1) % len(WEIGHTS) + 1)
-    t = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(MOST_COPIES)))
-    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everyone = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(everyone) * total_share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    left = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    t = t.withColumn("nth", F.row_number().over(order)).withColumn("level", rest / left).withColumn("capped", F.col("level") * F.col("weight") > F.col("cap"))
-    level = F.min(F.when(~F.col("capped"), F.struct("nth", "level"))).over(everyone)["level"]
-    return t.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "n", "target")
+    order, cap = F.col("source").asc_nulls_last(), F.col("source_size") * float(MOST_COPIES)
+    placed = sizes.repartitionByRange(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    placed = scratch.save(placed.withColumn("at", F.monotonically_increasing_id()), "placed").withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)})
+    before, starts = 0, []
+    for part, n in sorted((r.part, r["count"]) for r in placed.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += n
+    starts = F.broadcast(sizes.sparkSession.createDataFrame(starts, "part long, before long"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("before") + F.col("nth")) % len(WEIGHTS) + 1).cast("int"))
+    t = placed.join(starts, "part").select("source", "source_size", "n", weight.alias("weight"), cap.alias("cap"))
+    total, level = (t.agg(F.sum("source_size")).first()[0] or 0) * total_share, 0.0
+    while True:
+        below = F.col("cap") <= F.lit(level) * F.col("weight")
+        held, open_weight = t.agg(F.sum(F.when(below, F.col("cap")).otherwise(0.0)), F.sum(F.when(below, 0).otherwise(F.col("weight")))).first()
+        risen = (total - held) / open_weight if open_weight else level
+        if risen <= level * (1 + 1e-12):
+            break
+        level = risen
+    return t.select("source", "source_size", "n", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _let(values: list[Column], use) -> Column:
@@ -127,7 +135,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def _drawn(rows: DataFrame, total_share: float, scratch: Scratch) -> DataFrame:
     """rows (d, source, s, u: id, source, words, a key of the row) with source_size, target and copies."""
     rows = scratch.save(rows, "sizes")
-    sizes = scratch.save(targets(rows.groupBy("source").agg(F.sum("s").alias("source_size"), F.count("*").alias("n")), total_share), "targets")
+    sizes = scratch.save(targets(rows.groupBy("source").agg(F.sum("s").alias("source_size"), F.count("*").alias("n")), total_share, scratch), "targets")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(0.0))
     sizes = sizes.withColumn("base", F.least(F.floor(share), F.lit(MOST_COPIES))).withColumn("fraction", share - F.col("base"))
 

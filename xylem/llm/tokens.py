@@ -198,7 +198,7 @@ def packed_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     holds about group_tokens whatever the keys, sizes or repeats; a text's pieces carry its id and their places. The
     number of groups comes from a pass over the texts' lengths, or from the caller, who saves that pass. An empty table
     gives an empty result. Other columns are neither read nor returned, so their names don't matter. Ids must be numbers
-    or texts of numbers. The vocabulary file must be at the same path on every executor; its ids fit in 16 bits.
+    or texts of numbers. docs should be a stored table, whose rows a repeated task reads in the same order. The vocabulary file must be at the same path on every executor; its ids fit in 16 bits.
     """
     if groups is None:
         size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
