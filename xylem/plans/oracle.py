@@ -151,7 +151,7 @@ SQL = {
     "kernel_peaks": f"""with {PEAKS}, l as (select k.image_id, k.r, k.v, coalesce((select max(p.r) + 1 from profile p where p.image_id = k.image_id and p.r < k.r and p.v > k.v), 0) as a,
         coalesce((select min(p.r) - 1 from profile p where p.image_id = k.image_id and p.r > k.r and p.v > k.v), 100000) as b from peaks k)
       select l.image_id, l.r from l join profile p on p.image_id = l.image_id and p.r between l.a and l.b group by l.image_id, l.r, l.v
-      having l.v - greatest(min(case when p.r <= l.r then p.v end), min(case when p.r >= l.r then p.v end)) >= 1.5""",
+      having l.v - greatest(min(case when p.r <= l.r then p.v end), min(case when p.r >= l.r then p.v end)) >= 0.15""",
     "side_tables": """select 'img' || c_custkey as image, c_custkey % 61 + 0.25::double as x, c_custkey % 97 + 0.5::double as y, case when c_custkey % 5 <> 0 then cast(c_custkey % 40 as int) end as rings_count,
       case when c_custkey % 7 <> 0 then cast(c_custkey % 50 as int) end as centre_x, case when c_custkey % 7 <> 0 then cast(c_custkey % 30 as int) end as centre_y from customer""",
     "object_uploads": "select 'copies/' || n_regionkey || '/' || n_nationkey || '.txt' as key, cast(octet_length(encode(n_name)) as bigint) as bytes, true as ok from nation",

@@ -442,14 +442,14 @@ def kernel_luma(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kernel_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Local maxima of each series that stand out by 1.5 at least."""
+    """Local maxima of each series that stand out by 0.15 at least."""
     import pandas as pd
 
     from xylem.functions import image as I  # noqa: N812
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
-        return pdf.iloc[I.peaks(pdf["v"].to_numpy(), prominence=1.5)][["image_id", "r"]]
+        return pdf.iloc[I.peaks(pdf["v"].to_numpy(), prominence=0.15)][["image_id", "r"]]
 
     return profile(spark, d).groupBy("image_id").applyInPandas(run, "image_id long, r int")
 
