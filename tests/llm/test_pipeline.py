@@ -73,6 +73,14 @@ def test_no_benchmark_item_is_left(spark, stages):
     assert bad and {d for d, _ in pairs(after)} == {d for d, _ in pairs(before)} - bad
 
 
+def test_rows_are_met_alike_at_every_size(spark):
+    """What grows with the documents is not broadcast where it happens to be small."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.mix_sources):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_sources_are_mixed(stages):
     _, before, after = stages[3]
     rows, copies = before.collect(), Counter(r.doc_id for r in after.collect())

@@ -264,4 +264,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = fresh(docs, "gone")
     away = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(away, docs[id_col].cast("long") == F.col(gone), "left_anti")
+    # How many go grows with docs, so they are met by a merge at every size.
+    return docs.join(away.hint("merge"), docs[id_col].cast("long") == F.col(gone), "left_anti")

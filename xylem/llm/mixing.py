@@ -176,4 +176,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     slim = rows.select(F.col(id_col).cast("long").alias("d"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("s"), F.col(key).alias("u"))
     scratch = Scratch()
     copies = scratch.result(_drawn(slim, total_share, scratch).where("copies > 0").select(F.col("u").alias(key), F.col("copies").alias(times)), "mix_copies")
-    return rows.join(copies, key).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    # As many copies as rows, so they are met by a merge at every size.
+    return rows.join(copies.hint("merge"), key).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
